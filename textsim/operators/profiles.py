@@ -4,12 +4,13 @@ A profile row holds, for one distinct text, its TF-IDF term counts (sorted
 run-length array), the sum of squared counts, the set of preprocessed tokens
 and the set of n-grams.  All of it is computed with native array expressions
 on the document row itself, so building profiles needs no shuffle; only the
-optional Porter stemming leaves the JVM (a vectorised pandas UDF).
+optional Porter stemming leaves the JVM (a vectorised Arrow UDF).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -19,18 +20,29 @@ from textsim.functions import porter
 from textsim.functions import text as T
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Porter stems of a token array; memoised per Arrow batch."""
-    stem, memo = porter.stem, {}
+@F.arrow_udf(ArrayType(StringType()))
+def stem_tokens(tokens: pa.Array) -> pa.Array:
+    """Porter stems of token arrays, Arrow in and out.
 
-    def one(t):
-        s = memo.get(t)
+    Each Arrow batch is dictionary-encoded, so a word is stemmed once per batch
+    (and once per task through the memo); the list offsets are reused as they are.
+    """
+    flat = tokens.flatten()
+    enc = pc.dictionary_encode(flat)
+    words = enc.dictionary.to_pylist()
+    memo = _STEM_MEMO
+    stems = []
+    for w in words:
+        s = memo.get(w)
         if s is None:
-            s = memo[t] = stem(t)
-        return s
+            s = memo[w] = porter.stem(w)
+        stems.append(s)
+    values = pa.array(stems, type=pa.string()).take(enc.indices)
+    offsets = pc.subtract(tokens.offsets, tokens.offsets[0])
+    return pa.ListArray.from_arrays(offsets, values)
+
 
-    return tokens.map(lambda arr: [one(t) for t in arr])
+_STEM_MEMO: dict = {}
 
 
 def preprocess(text: Column, use_stemming: bool = True) -> Column:

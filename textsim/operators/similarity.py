@@ -58,15 +58,17 @@ def pair_components(pairs: DataFrame, profiles: DataFrame, with_matches: bool =
                     min_score: float | None = None, weights: dict = WEIGHTS) -> DataFrame:
     """(a, b, cosine, jaccard, ngram, common_count, total_ngrams_doc1/2[, matching_ngrams]).
 
-    With ``min_score`` the cheap set measures are computed first and a pair is
-    dropped when even a cosine of 1 could not lift it to the floor, so the
-    term merge runs only for pairs that can still qualify.
+    Two stages: the set measures first (token and n-gram sets joined to the
+    pair list), then the term arrays for the cosine.  With ``min_score`` a pair
+    is dropped between the stages when even a cosine of 1 could not lift it to
+    the floor, so the term arrays travel only with pairs that can qualify.
     """
-    j = (pairs.join(_side(profiles, "a"), F.col("a") == F.col("text_id_a"))
-         .join(_side(profiles, "b"), F.col("b") == F.col("text_id_b")))
+    sets = profiles.select("text_id", "toks", "grams")
+    j = (pairs.join(_side(sets, "a"), F.col("a") == F.col("text_id_a"))
+         .join(_side(sets, "b"), F.col("b") == F.col("text_id_b")))
     gi = F.array_intersect("grams_a", "grams_b")
-    sets = j.select(
-        "a", "b", "terms_a", "terms_b", "t_sq_a", "t_sq_b",
+    stage1 = j.select(
+        "a", "b",
         set_jaccard(F.size(F.array_intersect("toks_a", "toks_b")), F.size("toks_a"), F.size("toks_b")).alias("jaccard"),
         set_jaccard(F.size(gi), F.size("grams_a"), F.size("grams_b")).alias("ngram"),
         F.size(gi).alias("common_count"),
@@ -76,11 +78,14 @@ def pair_components(pairs: DataFrame, profiles: DataFrame, with_matches: bool =
     if min_score is not None:
         bound = (F.lit(weights["cosine"]) + F.lit(weights["jaccard"]) * F.col("jaccard")
                  + F.lit(weights["ngram"]) * F.col("ngram") + F.lit(weights["semantic"])) * F.lit(100.0)
-        sets = sets.filter(bound >= F.lit(min_score - 0.005 - 1e-9))
+        stage1 = stage1.filter(bound >= F.lit(min_score - 0.005 - 1e-9))
+    tv = profiles.select("text_id", "terms", "t_sq")
+    k = (stage1.join(_side(tv, "a"), F.col("a") == F.col("text_id_a"))
+         .join(_side(tv, "b"), F.col("b") == F.col("text_id_b")))
     cos = let(_shared_term_sums(F.col("terms_a"), F.col("terms_b")),
               lambda sums: cosine_expr(sums, F.col("t_sq_a"), F.col("t_sq_b")))
-    keep = [c for c in sets.columns if c not in ("terms_a", "terms_b", "t_sq_a", "t_sq_b", "jaccard", "ngram", "a", "b")]
-    return sets.select("a", "b", cos.alias("cosine"), "jaccard", "ngram", *keep)
+    rest = [c for c in stage1.columns if c not in ("a", "b", "jaccard", "ngram")]
+    return k.select("a", "b", cos.alias("cosine"), "jaccard", "ngram", *rest)
 
 
 def score(components: DataFrame, weights: dict = WEIGHTS, semantic: Column | None = None) -> DataFrame:

@@ -45,3 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     os.makedirs(d, exist_ok=True) if "://" not in d else None
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of recomputing
+    upstream stages), computes the plan once, and -- unlike an RDD checkpoint --
+    lets later scans prune columns and push filters.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/textsim-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
