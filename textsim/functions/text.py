@@ -121,12 +121,12 @@ def term_counts(term_arr: Column) -> Column:
     def runs(s):
         n = F.size(s)
         starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (n > 0) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))))
+                          lambda i: (n > 0) & ((i == 1) | (F.try_element_at(s, i) != F.try_element_at(s, F.greatest(i - 1, F.lit(1))))))
         return let(starts, lambda st_arr: F.transform(
             st_arr,
             lambda st, j: F.struct(
                 F.element_at(s, st).alias("k"),
-                (F.when(j + 1 < F.size(st_arr), F.element_at(st_arr, j + 2)).otherwise(n + 1) - st)
+                (F.when(j + 1 < F.size(st_arr), F.try_element_at(st_arr, j + 2)).otherwise(n + 1) - st)
                 .cast("long").alias("tf"),
             )))
 

@@ -1,6 +1,6 @@
 """Named queries (Spark builders + DuckDB twins)."""
 
-from textsim.plans import pair_queries, text_queries  # noqa: F401  (registration)
+from textsim.plans import pair_queries, style_queries, text_queries  # noqa: F401  (registration)
 from textsim.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
