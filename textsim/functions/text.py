@@ -39,7 +39,7 @@ TOKEN_RULES = [
 ]
 
 # Sentence boundary: [.!?] followed by whitespace (clean text has single spaces).
-SENT_MARK = ""
+SENT_MARK = "\ue000"  # private-use character, absent from text
 SENTENCE_RULE = (r"([.!?]) ", "$1" + SENT_MARK)
 
 # TF-IDF term stream: runs of two or more word characters of the lower-cased raw text.

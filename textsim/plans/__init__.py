@@ -1,6 +1,6 @@
 """Named queries (Spark builders + DuckDB twins)."""
 
-from textsim.plans import pair_queries, semantic_queries, style_queries, text_queries  # noqa: F401  (registration)
+from textsim.plans import lookup_queries, pair_queries, semantic_queries, style_queries, text_queries  # noqa: F401,E501
 from textsim.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
