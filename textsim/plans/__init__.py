@@ -1,7 +1,7 @@
 """Named queries (Spark builders + DuckDB twins)."""
 
 from textsim.plans import (calibration_queries, lookup_queries, pair_queries, semantic_queries,  # noqa: F401
-                           report_queries, style_queries, text_queries)
+                           io_queries, report_queries, style_queries, text_queries)
 from textsim.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
