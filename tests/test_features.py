@@ -35,7 +35,7 @@ def test_style_features_match_sql(spark, duck):
             assert getattr(s[k], f) == pytest.approx(d[k][i + 1], abs=1e-6), (k, f)
     assert all(getattr(s[1], f) == 0.0 for f in STYLE_FEATURES)
     assert all(getattr(s[2], f) == 0.0 for f in STYLE_FEATURES)
-    assert s[4].avg_para_len == pytest.approx((7 + 13) / 2)
+    assert s[4].avg_para_len == pytest.approx((7 + 12) / 2)
     assert s[3].lexical_density == pytest.approx(1 - s[3].func_word_ratio)
 
 

@@ -55,13 +55,13 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Collapse exact copies: one row per distinct text.
 
     ``text_id`` is the smallest id among the copies and ``n_copies`` their count.
-    The grouping is a partial (map-side) aggregate over a 32-byte digest, so a
-    copy group holding a third of the corpus costs one small row per task; the
-    text itself is fetched back by a join on the unique ``text_id``.
+    One aggregate keyed by a SHA-256 digest of the text: copies in a task are
+    combined map-side (all copies carry the same text, so any one of them is
+    kept), so a copy group holding a third of the corpus shuffles one row per
+    task.  The shuffle also spreads the texts for the tokenising that follows.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col), 256).alias("text_key"))
-    reps = keyed.groupBy("text_key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"))
-    return (reps.join(docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")), "text_id")
+    return (docs.groupBy(F.sha2(F.col(text_col), 256).alias("text_key"))
+            .agg(F.min(id_col).alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.first(text_col).alias("text"))
             .select("text_id", "n_copies", "text"))
 
 
