@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsim.constants import MAX_SOURCES, NUM_QUERIES, NUM_RESULTS, QUERY_MAX_CHARS, QUERY_MIN_WORDS
-from textsim.functions.text import WS
+from textsim.functions.text import WS, let
 
 RAW_SENT_MARK = "\ue001"  # private-use character, absent from text
 _RAW_BOUNDARY = (f"([.!?])[{WS}]+", "$1" + RAW_SENT_MARK)
@@ -33,9 +33,11 @@ def ws_tokens(c):
 
 
 def word_trigrams(tokens):
-    return F.when(F.size(tokens) >= 3,
-                  F.transform(F.sequence(F.lit(1), F.size(tokens) - 2),
-                              lambda i: F.array_join(F.slice(tokens, i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    """Word 3-grams; ``tokens`` is bound once (see ``let``) so long bodies stay linear."""
+    return let(tokens, lambda tk: F.when(
+        F.size(tk) >= 3,
+        F.transform(F.sequence(F.lit(1), F.size(tk) - 2), lambda i: F.array_join(F.slice(tk, i, 3), " "))
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def query_sentences(docs: DataFrame, num_queries: int = NUM_QUERIES, id_col: str = "doc_id",
