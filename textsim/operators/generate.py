@@ -15,6 +15,7 @@ from textsim.functions.text import WS
 from textsim.operators import profiles as P
 from textsim.operators import similarity as S
 from textsim.operators.lookup import raw_sentences, ws_tokens
+from textsim.session import materialize
 
 TYPE_INDEX = {t: i + 1 for i, t in enumerate(PAIR_TYPES)}
 PAIR_SCHEMA = ["pair_id", "text1", "text2", "label", "type", "expected_min"]
@@ -133,7 +134,13 @@ def labelled_pairs(labelled: DataFrame) -> DataFrame:
 
 
 def score_pair_list(pairs: DataFrame, use_stemming: bool = True) -> DataFrame:
-    """(pair_id, label, type, expected_min, overall, cosine, jaccard, ngram) for listed text pairs."""
+    """(pair_id, label, type, expected_min, overall, cosine, jaccard, ngram) for listed text pairs.
+
+    The pair list is written to the checkpoint folder first: it is read twice
+    (texts and pair ids), and the stemming UDF then runs over a plain scan
+    rather than over the generators' top-k and window operators.
+    """
+    pairs = materialize(pairs, "labelled-pairs")
     texts = (pairs.select((F.col("pair_id") * 2).alias("text_id"), F.col("text1").alias("text"))
              .unionByName(pairs.select((F.col("pair_id") * 2 + 1).alias("text_id"), F.col("text2").alias("text"))))
     prof = P.build_profiles(texts, use_stemming)
