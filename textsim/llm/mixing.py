@@ -28,7 +28,7 @@ from textsim.session import materialize
 WEIGHTS = (5, 2, 1)      # dealt to the sources in code-point order, repeating
 BUDGET_SHARE = 1.5       # the mix, as a share of all words
 MAX_PASSES = 2           # a source gives at most this many times its words
-ROWS_PER_BUCKET = 16_384
+ROWS_PER_BUCKET = 2_048
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE,

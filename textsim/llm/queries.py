@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import mixing
+from textsim.llm import mixing, pii
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -69,3 +69,13 @@ def op9_mixing(spark, sf_dir):
     """Which words of each document the mix of all sources takes."""
     mixed = mixing.fair_queue(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_pii(spark, sf_dir):
+    """Personal data of every document: base counts and digest, all spans."""
+    found = pii.find_pii(load(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.notation(base), 256).alias("base_sha256"),
+                        pii.notation(F.col("spans")).alias("spans"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +24,9 @@ def word_array(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: an expression that a lambda
+    refers to would otherwise be computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
