@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import mixing, pii
+from textsim.llm import mixing, packing, pii
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -79,3 +79,11 @@ def op7_pii(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.notation(base), 256).alias("base_sha256"),
                         pii.notation(F.col("spans")).alias("spans"))
+
+
+@query()
+def op8_packing(spark, sf_dir):
+    """Every piece of every document in its sequence."""
+    packed = packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
