@@ -8,9 +8,11 @@ import pytest
 from textsim.llm import packing
 
 
+WHOLE = packing.WordIds(packing.tokenizer_path()).tokenizer
+
+
 def tokens(text):
-    t = packing.WordIds(packing.tokenizer_path()).tokenizer
-    return t.encode(text, add_special_tokens=False).ids
+    return WHOLE.encode(text, add_special_tokens=False).ids
 
 
 TEXTS = ["", "<|endoftext|> a<|startoftext|>b", "it's I'LL don't 'S", "ÀÉ Straße ΣΑΣ İstanbul ǅ", "a\x1cb \x85 c\xa0d e", "é ô̂x",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import mixing, packing, pii
+from textsim.llm import label_shards, mixing, packing, pii
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -87,3 +87,11 @@ def op8_packing(spark, sf_dir):
     packed = packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op6_sharding(spark, sf_dir):
+    """The shard and slot of every document; equal texts are linked."""
+    placed = label_shards.balanced_shards(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
