@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, packing, pii
+from textsim.llm import label_shards, mixing, packing, pii, quality_llr
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -95,3 +95,11 @@ def op6_sharding(spark, sf_dir):
     placed = label_shards.balanced_shards(load(spark, sf_dir, "documents", "doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    """Base counts and the verdict for every document; labelled good documents are the trusted target."""
+    trusted = load(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
+    judged = quality_llr.quality(load(spark, sf_dir, "documents", "doc_id", "text"), trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
