@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, packing, pii, quality_llr
+from textsim.llm import label_shards, mixing, packing, pii, quality_llr, topk_search
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -103,3 +103,24 @@ def op3_quality(spark, sf_dir):
     trusted = load(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
     judged = quality_llr.quality(load(spark, sf_dir, "documents", "doc_id", "text"), trusted)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query(sql="""
+WITH v AS (
+  SELECT vec_id, max(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS vector
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+  GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_inner_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.vector) = len(q.vector)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op2_topk(spark, sf_dir):
+    """The 20 nearest vectors of every query vector."""
+    return topk_search.top_k(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
