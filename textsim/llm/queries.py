@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, packing, pii, quality_llr, topk_search
+from textsim.llm import label_shards, mixing, packing, pii, quality_llr, secret_forest, topk_search, toxicity_pu
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -124,3 +124,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op2_topk(spark, sf_dir):
     """The 20 nearest vectors of every query vector."""
     return topk_search.top_k(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    """A toxicity score of every document; a third of the ids is held out from learning."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    scored = toxicity_pu.toxicity(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "toxic"),
+                                  ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity_pu.TOXIC_AT).cast("int").alias("predicted"))
+
+
+@query()
+def op5_secrets(spark, sf_dir):
+    """Secrets in every document: start:end of each, comma-joined."""
+    found = secret_forest.find_secrets(load(spark, sf_dir, "documents", "doc_id", "text"))
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
