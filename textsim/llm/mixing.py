@@ -124,3 +124,19 @@ def _cut(queued: DataFrame, budget: float, bins: int) -> float:
               .withColumn("upto", F.sum("size").over(Window.orderBy("finish")) + F.lit(row["split"]["before"]))
               .where(F.col("upto") <= budget).agg(F.max("finish")).first()[0])
     return inside if inside is not None else last
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, max_passes: int = MAX_PASSES) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as the mix takes it. Rows
+    that cannot be told apart by doc_id, source and size share their passes by number."""
+    key = ["doc_id", "source", "size"]
+    taken = fair_queue(docs, weights, budget_share, max_passes).select(*key, "passes").withColumn(
+        "_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("passes").desc()))).where("passes > 0")
+    names = [f"_k{i}" for i in range(3)]
+    taken = taken.select(*(F.col(c).alias(n) for c, n in zip(key, names)), F.col("_row").alias("_k3"), "passes")
+    rows = docs.withColumn("_size", word_count(text_of())).withColumn(
+        "_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
+    same = rows["doc_id"].eqNullSafe(taken["_k0"]) & rows["source"].eqNullSafe(taken["_k1"]) & (
+        rows["_size"] == taken["_k2"]) & (rows["_row"] == taken["_k3"])
+    joined = rows.join(taken, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, packing, pii, quality_llr, secret_forest, topk_search, toxicity_pu
+from textsim.llm import label_shards, mixing, ngram_join, packing, pii, quality_llr, secret_forest, topk_search, toxicity_pu
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -141,3 +141,9 @@ def op5_secrets(spark, sf_dir):
     found = secret_forest.find_secrets(load(spark, sf_dir, "documents", "doc_id", "text"))
     spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
+
+
+@query()
+def op1_ngram_jaccard(spark, sf_dir):
+    """Near-duplicate components of all documents on four-word shingles at 0.85."""
+    return ngram_join.jaccard_components(load(spark, sf_dir, "documents", "doc_id", "text"))
