@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, ngram_join, packing, pii, quality_llr, secret_forest, topk_search, toxicity_pu
+from textsim.llm import label_shards, mixing, ngram_join, packing, pii, quality_llr, secret_forest, suffix_dedup, topk_search, toxicity_pu
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -147,3 +147,10 @@ def op5_secrets(spark, sf_dir):
 def op1_ngram_jaccard(spark, sf_dir):
     """Near-duplicate components of all documents on four-word shingles at 0.85."""
     return ngram_join.jaccard_components(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query()
+def op10_suffix_dedup(spark, sf_dir):
+    """Bytes of every document that repeat 50 bytes or more of an earlier one."""
+    cut = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
