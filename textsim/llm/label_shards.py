@@ -95,7 +95,7 @@ def balanced_shards(docs: DataFrame, link: Column | None = None, shards: int = S
 
     start = marked.where("linked").withColumn("shard", F.floor(_share("spot") * shards).cast("int"))
     placed = propagate(start, n // shards, shards, rounds) if n >= shards else start
-    placed = materialize(numbered(materialize(placed, "shard-placed"), ["shard"], max(1, buckets // shards), "slot"), "shard-slots")
+    placed = materialize(numbered(materialize(placed, "shard-placed"), ["shard"], max(1, -(-n // (shards * 512))), "slot"), "shard-slots")
     limit = F.element_at(F.array(*map(F.lit, share)), F.col("shard") + 1)
     stays = placed.where(F.col("slot") < limit)
     columns = ["doc_id", "size", "text_crc32", "link", "spot"]
