@@ -80,7 +80,8 @@ def gen_unrelated(ai: DataFrame, human: DataFrame) -> DataFrame:
                                 .alias("r"))  # one row x at most k
     r = r.filter(F.col("na") * F.col("nh") > 0)
     x = (r.join(a.select(F.col("r").alias("ra"), "text"), (F.pmod(F.col("r") - 1, F.col("na")) + 1) == F.col("ra"))
-         .join(h.select(F.col("r").alias("rh"), F.col("text").alias("t2")), (F.pmod(F.col("r") - 1, F.col("nh")) + 1) == F.col("rh")))
+         .join(h.select(F.col("r").alias("rh"), F.col("text").alias("t2")),
+               (F.pmod(F.floor((F.col("r") - 1) / F.col("na")), F.col("nh")) + 1) == F.col("rh")))
     unrelated = _pairs(x, "unrelated", F.col("t2"))
     k2 = PAIR_TYPES["unrelated_same_style"][1]
     b = sample(ai, "same_style", k2 + 1)

@@ -55,17 +55,19 @@ def _side(profiles: DataFrame, s: str) -> DataFrame:
 
 
 def pair_components(pairs: DataFrame, profiles: DataFrame, with_matches: bool = False,
-                    min_score: float | None = None, weights: dict = WEIGHTS) -> DataFrame:
+                    min_score: float | None = None, weights: dict = WEIGHTS, other: DataFrame | None = None) -> DataFrame:
     """(a, b, cosine, jaccard, ngram, common_count, total_ngrams_doc1/2[, matching_ngrams]).
 
     Two stages: the set measures first (token and n-gram sets joined to the
     pair list), then the term arrays for the cosine.  With ``min_score`` a pair
     is dropped between the stages when even a cosine of 1 could not lift it to
     the floor, so the term arrays travel only with pairs that can qualify.
+    ``other`` holds the profiles of side b when they are a collection of their own.
     """
+    other = profiles if other is None else other
     sets = profiles.select("text_id", "toks", "grams")
     j = (pairs.join(_side(sets, "a"), F.col("a") == F.col("text_id_a"))
-         .join(_side(sets, "b"), F.col("b") == F.col("text_id_b")))
+         .join(_side(other.select("text_id", "toks", "grams"), "b"), F.col("b") == F.col("text_id_b")))
     gi = F.array_intersect("grams_a", "grams_b")
     stage1 = j.select(
         "a", "b",
@@ -81,13 +83,20 @@ def pair_components(pairs: DataFrame, profiles: DataFrame, with_matches: bool =
         stage1 = stage1.filter(bound >= F.lit(min_score - 0.005 - 1e-9))
     tv = profiles.select("text_id", "terms", "t_sq")
     k = (stage1.join(_side(tv, "a"), F.col("a") == F.col("text_id_a"))
-         .join(_side(tv, "b"), F.col("b") == F.col("text_id_b")))
+         .join(_side(other.select("text_id", "terms", "t_sq"), "b"), F.col("b") == F.col("text_id_b")))
     cos = let(_shared_term_sums(F.col("terms_a"), F.col("terms_b")),
               lambda sums: cosine_expr(sums, F.col("t_sq_a"), F.col("t_sq_b")))
     rest = [c for c in stage1.columns if c not in ("a", "b", "jaccard", "ngram")]
     return k.select("a", "b", cos.alias("cosine"), "jaccard", "ngram", *rest)
 
 
+def self_components(profiles: DataFrame) -> DataFrame:
+    """(text_id, cosine, jaccard, ngram) of each text compared with a copy of itself: 1, or 0 where it has nothing to compare."""
+    one = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
+    return profiles.select("text_id", one(F.col("t_sq") > 0).alias("cosine"), one(F.size("toks") > 0).alias("jaccard"),
+                           one(F.size("grams") > 0).alias("ngram"))
+
+
 def score(components: DataFrame, weights: dict = WEIGHTS, semantic: Column | None = None) -> DataFrame:
     """Adds ``overall_score`` (percent, 2 dp) and ``classification``."""
     sem = semantic if semantic is not None else F.lit(0.0)

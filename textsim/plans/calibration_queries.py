@@ -67,7 +67,7 @@ a6 AS {_sample('ai', 'unrelated_a', K['unrelated'])}, h6 AS {_sample('hu', 'unre
 c6 AS (SELECT (SELECT count(*) FROM a6) AS na, (SELECT count(*) FROM h6) AS nh),
 r6 AS (SELECT na, nh, unnest(range(1, least({K['unrelated']}, na * nh) + 1)) AS r FROM c6 WHERE na * nh > 0),
 g6 AS (SELECT {_sel('unrelated', 'a6.text', 'h6.text').replace('+ r)', '+ r6.r)')}
-       FROM r6 JOIN a6 ON ((r6.r - 1) % na) + 1 = a6.r JOIN h6 ON ((r6.r - 1) % nh) + 1 = h6.r),
+       FROM r6 JOIN a6 ON ((r6.r - 1) % na) + 1 = a6.r JOIN h6 ON (((r6.r - 1) // na) % nh) + 1 = h6.r),
 b7 AS {_sample('ai', 'same_style', K['unrelated_same_style'] + 1)}, n7 AS (SELECT count(*) AS nb FROM b7),
 g7 AS (SELECT {_sel('unrelated_same_style', 'x.text', 'y.text').replace('+ r)', '+ x.r)')}
        FROM b7 x CROSS JOIN n7 JOIN b7 y ON (x.r % nb) + 1 = y.r WHERE nb >= 2 AND x.r <= {K['unrelated_same_style']}),

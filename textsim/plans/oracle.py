@@ -57,17 +57,68 @@ comp AS (
   LEFT JOIN gs ON gs.a = pr.a AND gs.b = pr.b)"""
 
 
+COPIES_CTE = """copies AS (SELECT t.text_id AS a, d.doc_id AS b, CASE WHEN coalesce(ta.t_sq, 0) > 0 THEN 1.0 ELSE 0.0 END AS cosine,
+    CASE WHEN len(pa.toks) > 0 THEN 1.0 ELSE 0.0 END AS jaccard, CASE WHEN len(pa.grams) > 0 THEN 1.0 ELSE 0.0 END AS ngram
+  FROM documents d JOIN t ON d.text = t.text AND d.doc_id <> t.text_id JOIN prof pa ON pa.text_id = t.text_id
+  LEFT JOIN tsq ta ON ta.text_id = t.text_id)"""
+
+
 def pair_scores_sql(threshold: float = PLAGIARISM_THRESHOLD, weights: dict = WEIGHTS,
-                    texts_sql: str | None = None) -> str:
+                    texts_sql: str | None = None, copies: bool = False) -> str:
+    """All scored pairs of distinct texts; with ``copies`` also (first copy, further copy) of equal documents."""
     texts_sql = texts_sql or texts_cte()
     s = sql_weighted_score("cosine", "jaccard", "ngram", "0.0", weights)
-    return f"""WITH {pair_components_sql(texts_sql)},
-sc AS (SELECT *, {s} AS overall_score FROM comp)
+    both = "SELECT a, b, cosine, jaccard, ngram FROM comp" + (" UNION ALL SELECT a, b, cosine, jaccard, ngram FROM copies" if copies else "")
+    return f"""WITH {pair_components_sql(texts_sql)}{"," + chr(10) + COPIES_CTE if copies else ""},
+sc AS (SELECT *, {s} AS overall_score FROM ({both}))
 SELECT a AS doc1, b AS doc2, overall_score, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard,
        round(ngram, 6) AS ngram, {sql_classification('overall_score')} AS classification
 FROM sc WHERE overall_score >= {threshold!r}"""
 
 
+def all_pairs_sql() -> str:
+    """overall_score and classification of every pair of documents, written out one by one."""
+    s = sql_weighted_score("cosine", "jaccard", "ngram")
+    return f"""WITH {pair_components_sql(texts_cte())},
+{COPIES_CTE},
+ids AS (SELECT d.doc_id, t.text_id FROM documents d JOIN t ON d.text = t.text),
+own AS (SELECT DISTINCT a AS text_id, cosine, jaccard, ngram FROM copies),
+every AS (SELECT CASE WHEN x.text_id = y.text_id THEN own.cosine ELSE coalesce(c.cosine, 0.0) END AS cosine,
+    CASE WHEN x.text_id = y.text_id THEN own.jaccard ELSE coalesce(c.jaccard, 0.0) END AS jaccard,
+    CASE WHEN x.text_id = y.text_id THEN own.ngram ELSE coalesce(c.ngram, 0.0) END AS ngram
+  FROM ids x JOIN ids y ON x.doc_id < y.doc_id
+  LEFT JOIN comp c ON c.a = least(x.text_id, y.text_id) AND c.b = greatest(x.text_id, y.text_id)
+  LEFT JOIN own ON own.text_id = x.text_id),
+scored AS (SELECT {s} AS overall_score FROM every)
+SELECT overall_score, {sql_classification('overall_score')} AS classification FROM scored"""
+
+
+def given_pairs_sql(pairs_sql: str) -> str:
+    """Scores of the given pairs (doc_id, item_id) of a document and a benchmark passage, each from its own two texts."""
+    k2, s = repr(IDF_UNSHARED_SQ), sql_weighted_score("cosine", "jaccard", "ngram")
+    return f"""WITH given AS ({pairs_sql}),
+d AS (SELECT doc_id AS text_id, text FROM documents), b AS (SELECT item_id AS text_id, text FROM benchmark),
+pd AS ({profiles_cte('d')}), pb AS ({profiles_cte('b')}),
+td AS (SELECT text_id, term, count(*)::DOUBLE AS tf FROM (SELECT text_id, unnest(te) AS term FROM pd) GROUP BY ALL),
+tb AS (SELECT text_id, term, count(*)::DOUBLE AS tf FROM (SELECT text_id, unnest(te) AS term FROM pb) GROUP BY ALL),
+sd AS (SELECT text_id, sum(tf * tf) AS t_sq FROM td GROUP BY 1), sb AS (SELECT text_id, sum(tf * tf) AS t_sq FROM tb GROUP BY 1),
+cs AS (SELECT doc_id, item_id, sum(td.tf * tb.tf) AS dot, sum(td.tf * td.tf) AS sa, sum(tb.tf * tb.tf) AS sb
+  FROM given JOIN td ON td.text_id = doc_id JOIN tb ON tb.text_id = item_id AND tb.term = td.term GROUP BY 1, 2),
+comp AS (SELECT doc_id, item_id,
+    CASE WHEN coalesce(sd.t_sq, 0) = 0 OR coalesce(sb.t_sq, 0) = 0 THEN 0.0
+         ELSE coalesce(cs.dot, 0) / sqrt((coalesce(cs.sa, 0) + {k2} * (sd.t_sq - coalesce(cs.sa, 0)))
+                                        * (coalesce(cs.sb, 0) + {k2} * (sb.t_sq - coalesce(cs.sb, 0)))) END AS cosine,
+    CASE WHEN len(pd.toks) + len(pb.toks) = 0 THEN 0.0 ELSE len(list_intersect(pd.toks, pb.toks))
+         / (len(pd.toks) + len(pb.toks) - len(list_intersect(pd.toks, pb.toks))) END AS jaccard,
+    CASE WHEN len(pd.grams) + len(pb.grams) = 0 THEN 0.0 ELSE len(list_intersect(pd.grams, pb.grams))
+         / (len(pd.grams) + len(pb.grams) - len(list_intersect(pd.grams, pb.grams))) END AS ngram
+  FROM given JOIN pd ON pd.text_id = doc_id JOIN pb ON pb.text_id = item_id
+  LEFT JOIN sd ON sd.text_id = doc_id LEFT JOIN sb ON sb.text_id = item_id LEFT JOIN cs USING (doc_id, item_id)),
+sc AS (SELECT *, {s} AS overall_score FROM comp)
+SELECT doc_id, item_id, overall_score, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard, round(ngram, 6) AS ngram,
+       {sql_classification('overall_score')} AS classification FROM sc"""
+
+
 def measure_join_sql(measure: str, floor: float, with_matches: bool = False) -> str:
     m = ", array_to_string(matching_ngrams, '|') AS matching_ngrams" if with_matches else ""
     return f"""WITH {pair_components_sql(texts_cte(), with_matches)}
