@@ -323,7 +323,7 @@ def links(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent: int
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     left = materialize(_both(pairs, signatures, "sign").mapInArrow(possible, "a long, b long"), "join-possible")
     ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id")))
-    wanted = materialize(_only(sets, ids), "join-wanted").dropDuplicates(["id"])
+    wanted = materialize(_only(sets, ids).dropDuplicates(["id"]), "join-wanted")
     return materialize(_both(left, wanted, "tokens").mapInArrow(verified, "a long, b long"), "join-links")
 
 
