@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textsim.constants import STYLE_FEATURES, TRAIN_MIN_CHARS
@@ -12,7 +13,7 @@ from textsim.plans.registry import query
 from textsim.sources.tables import load, spread
 
 QUERY_TREES = 20          # trees in the registered queries; the library default stays 200
-TEST_BUCKET = "3333"      # first 4 hex digits of md5(id) below this -> test split (20 %)
+TEST_SHARE = 0.2
 
 
 def _docs(spark, sf):
@@ -43,28 +44,42 @@ def q_labelled_texts(spark, sf):
     return labelled_texts(spark, sf).select("doc_id", "label", F.char_length("text").alias("n_chars"))
 
 
-def split_column(id_col: str = "doc_id"):
-    """Deterministic 80/20 split by a digest of the id: no window, no group in one task."""
-    return F.when(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4) < F.lit(TEST_BUCKET), "test").otherwise("train")
+def with_split(rows, id_col: str = "doc_id"):
+    """Adds ``split``: of each label the fifth with the smallest md5 of the id is the test part.
 
+    Rows are counted by (label, first four hex digits); running counts find the digits where the
+    fifth ends, and only rows with those digits are numbered. No label is sorted as a whole.
+    """
+    key = F.md5(F.col(id_col).cast("string"))
+    marked = rows.withColumn("_md5", key).withColumn("_digits", F.substring("_md5", 1, 4))
+    counts = marked.groupBy("label", "_digits").agg(F.count(F.lit(1)).alias("_n"))
+    by_label = Window.partitionBy("label")
+    cut = counts.select("label", "_digits", (F.sum("_n").over(by_label.orderBy("_digits")) - F.col("_n")).alias("_before"),
+                        F.floor(F.sum("_n").over(by_label) * TEST_SHARE + 0.5).alias("_test"), "_n")
+    inside = Window.partitionBy("label", "_digits").orderBy("_md5", id_col)
+    placed = marked.withColumn("_place", F.row_number().over(inside)).join(cut, ["label", "_digits"])
+    split = F.when(F.col("_before") + F.col("_place") <= F.col("_test"), "test").otherwise("train")
+    return placed.withColumn("split", split).select(*rows.columns, "split")
 
-_SPLIT_SQL = f"CASE WHEN substr(md5(doc_id::VARCHAR), 1, 4) < '{TEST_BUCKET}' THEN 'test' ELSE 'train' END"
 
+_SPLIT_SQL = f"""SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id)
+  <= floor(count(*) OVER (PARTITION BY label) * {TEST_SHARE} + 0.5) THEN 'test' ELSE 'train' END AS split FROM ({_LABELLED_SQL})"""
 
-@query("stratified_split", f"""SELECT label, {_SPLIT_SQL} AS split, count(*) AS n FROM ({_LABELLED_SQL}) GROUP BY ALL""")
+
+@query("stratified_split", f"SELECT label, split, count(*) AS n FROM ({_SPLIT_SQL}) GROUP BY ALL")
 def q_stratified_split(spark, sf):
-    return (labelled_texts(spark, sf).withColumn("split", split_column())
-            .groupBy("label", "split").agg(F.count(F.lit(1)).alias("n")))
+    return with_split(labelled_texts(spark, sf).select("doc_id", "label")).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 def labelled_features(spark, sf):
     lt = labelled_texts(spark, sf)
     feats = style_features(lt.select("doc_id", "text"))
-    return lt.select("doc_id", "label").join(feats, "doc_id").withColumn("split", split_column())
+    return with_split(lt.select("doc_id", "label")).join(feats, "doc_id")
 
 
 @query("style_scaled", f"""WITH f AS ({style_features_sql(f'({_LABELLED_SQL})')}),
-l AS (SELECT f.*, {_SPLIT_SQL} AS split FROM f),
+sp AS ({_SPLIT_SQL}),
+l AS (SELECT f.*, sp.split FROM f JOIN sp ON sp.doc_id = f.doc_id),
 st AS (SELECT {', '.join(f'avg({k}) AS m_{k}, stddev_pop({k}) AS s_{k}' for k in STYLE_FEATURES)} FROM l WHERE split = 'train')
 SELECT doc_id, split, {', '.join(f'round(({k} - m_{k}) / CASE WHEN s_{k} = 0 THEN 1.0 ELSE s_{k} END, 4) AS {k}' for k in STYLE_FEATURES)}
 FROM l, st""")
