@@ -8,12 +8,13 @@ last, so that a passage found in a third of all documents makes no bucket.
 
 Round 1 verifies, in each bucket of a shared token, every set against the bucket's
 smallest one: near copies by the thousand fall into components with a number
-of pairs that is linear in their number. Round 2 looks at the buckets that
-still hold several components. A large bucket becomes a signature tree: leaves
+of pairs that is linear in their number. Further rounds put the sets of a bucket that
+still holds several components in a random order and verify neighbours of different
+components. The last round looks at what is left. A large bucket becomes a signature tree: leaves
 are bitmaps of the sets, inner nodes the OR of their children with ranges of set
 size; two trees are walked together, and a pair of nodes is dropped when the
-largest overlap that bitmaps and sizes allow is too small. Every pair that survives is
-verified on the sets themselves. Nothing is capped or sampled: the result
+largest overlap that bitmaps and sizes allow is too small. A pair is passed on by the first bucket that
+its sets share, and verified on the sets themselves. Nothing is capped or sampled: the result
 is the components of all links. Pairs inside a component are not listed.
 """
 
@@ -33,6 +34,7 @@ PERCENT = 85
 HOT_MAX = 1 << 17        # most frequent shingles that go last in the order; only a matter of speed
 HOT_LEAST = 16
 SMALL_BUCKET = 8         # sets of a bucket whose pairs are written out by a join
+NEIGHBOUR_ROUNDS = 3     # at most, while they find links; what they miss the last round finds
 BLOCK = 256              # leaves of one signature tree
 FANOUT = 8
 FILTER_BITS = 1 << 22
@@ -342,23 +344,45 @@ def _signatures(sets: DataFrame) -> DataFrame:
         run, "id long, sign struct<n:bigint,bits:binary>").dropDuplicates(["id"])
 
 
-def _tree_candidates(large: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of large buckets (token, id, component, size): blocks of about ``BLOCK`` sets meet two by two."""
+def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """token, id, component, size of the buckets that hold several components."""
+    bucket = Window.partitionBy("token")
+    grouped = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return materialize(grouped.withColumns({
+        "low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
+        .where("low <> high").select("token", "id", "component", "size"), "join-mixed")
+
+
+def _neighbours(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of sets of different components that follow each other in a bucket, put in a random order."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64("id", "token", F.lit(turn)), "id")
+    follows = mixed.withColumn("next", F.lead(F.struct("id", "component")).over(order)).where("next.component <> component")
+    return follows.select(F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
+
+
+def _tree_candidates(mixed: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the large buckets: blocks of about ``BLOCK`` sets meet two by two. A pair
+    is passed on only by the smallest token that both sets have in mixed buckets."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    placed = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    leaves = placed.join(signatures, "id").select("token", "i", "j", "own", "id", "component", "sign")
+    placed = mixed.where(F.col("size") > SMALL_BUCKET).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    of_id = mixed.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # no longer than a set's prefix
+    leaves = placed.join(materialize(signatures.join(of_id, "id"), "join-leaves"), "id").select(
+        "token", "i", "j", "own", "id", "component", "sign", "tokens")
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
         rows = table.to_pylist()
-        sides = [r["own"] for r in rows] if rows[0]["i"] != rows[0]["j"] else None
-        pairs = [(rows[a]["id"], rows[b]["id"]) for a, b in tree_pairs(
-            np.array([r["sign"]["n"] for r in rows]), [np.frombuffer(r["sign"]["bits"], "<u8") for r in rows],
-            [r["component"] for r in rows], sides, percent)] if len(rows) > 1 else []
+        pairs = []
+        if len(rows) > 1:
+            token, has = rows[0]["token"], [set(r["tokens"]) for r in rows]
+            sides = [r["own"] for r in rows] if rows[0]["i"] != rows[0]["j"] else None
+            walk = tree_pairs(np.array([r["sign"]["n"] for r in rows]), [np.frombuffer(r["sign"]["bits"], "<u8") for r in rows],
+                              [r["component"] for r in rows], sides, percent)
+            pairs = [(rows[a]["id"], rows[b]["id"]) for a, b in walk if min(has[a] & has[b]) == token]
         return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
     return leaves.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -384,18 +408,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     first = shared.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     found = links(first, sets, signatures, percent)
-    known = components(found)
+    members = materialize(shared.select("token", "id").distinct(), "join-members")
+    mixed = _mixed(members, components(found))
+    for turn in range(NEIGHBOUR_ROUNDS):
+        near = links(_neighbours(mixed, turn), sets, signatures, percent)
+        if near.isEmpty():
+            break
+        found = found.unionByName(near)
+        mixed = _mixed(members, components(found))
 
-    grouped = shared.select("token", "id").distinct().join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = materialize(grouped.withColumns({
-        "low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
-        .where("low <> high").select("token", "id", "component", "size"), "join-mixed")
     small = mixed.where(F.col("size") <= SMALL_BUCKET)
     x, y = small.alias("x"), small.alias("y")
     written = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
                      ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    walked = _tree_candidates(mixed.where(F.col("size") > SMALL_BUCKET), signatures, percent)
-    rest = links(written.unionByName(walked).distinct(), sets, signatures, percent)
+    rest = links(written.unionByName(_tree_candidates(mixed, signatures, percent)).distinct(), sets, signatures, percent)
 
     final = components(found.unionByName(rest))
     classes = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
