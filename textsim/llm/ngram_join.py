@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsim.llm.components import components
-from textsim.llm.words import text_of
+from textsim.llm.words import small_batches, text_of
 from textsim.session import materialize
 
 WORDS = 4
@@ -399,6 +399,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     other is there; an empty table gives no rows; other columns are ignored. Hash collisions
     (48 bits within a pair, 64 bits between sets) are the only inexactness.
     """
+    small_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, words), "join-sets")
     signatures = materialize(_signatures(sets), "join-signatures")
     hot = hot_tokens(sets, hot_max)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsim.llm.words import text_of
+from textsim.llm.words import small_batches, text_of
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
     if max_tokens & (max_tokens - 1) or min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("max_tokens must be a power of two and all limits positive")
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -25,7 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsim.llm.words import text_of
+from textsim.llm.words import small_batches, text_of
 
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 9_000
@@ -203,6 +203,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None
     repeated rows are scored alike; without a positive every score is
     low; an empty table stays empty; other columns pass through, ``score`` is replaced.
     """
+    small_batches(docs.sparkSession)
     may_learn = F.lit(True) if may_learn is None else may_learn
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn)
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII white-space characters.
@@ -30,3 +30,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once: an expression that a lambda
     refers to would otherwise be computed anew for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lets Arrow batches hold at most ``rows`` rows from now on, since a batch of ten
+    thousand long texts would not fit a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
