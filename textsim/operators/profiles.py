@@ -25,7 +25,7 @@ def stem_tokens(tokens: pa.Array) -> pa.Array:
     """Porter stems of token arrays, Arrow in and out.
 
     Each Arrow batch is dictionary-encoded, so a word is stemmed once per batch
-    (and once per task through the memo); the list offsets are reused as they are.
+    (and through a memo of bounded size once for most batches); the list offsets are reused as they are.
     """
     flat = tokens.flatten()
     enc = pc.dictionary_encode(flat)
@@ -35,6 +35,8 @@ def stem_tokens(tokens: pa.Array) -> pa.Array:
     for w in words:
         s = memo.get(w)
         if s is None:
+            if len(memo) >= MEMO_WORDS:
+                memo.clear()
             s = memo[w] = porter.stem(w)
         stems.append(s)
     values = pa.array(stems, type=pa.string()).take(enc.indices)
@@ -43,6 +45,7 @@ def stem_tokens(tokens: pa.Array) -> pa.Array:
 
 
 _STEM_MEMO: dict = {}
+MEMO_WORDS = 200_000
 
 
 def preprocess(text: Column, use_stemming: bool = True) -> Column:
