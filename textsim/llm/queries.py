@@ -107,10 +107,10 @@ def op3_quality(spark, sf_dir):
 
 @query(sql="""
 WITH v AS (
-  SELECT vec_id, max(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS vector
+  SELECT vec_id, max(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS vector
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
   GROUP BY vec_id
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
@@ -143,13 +143,66 @@ def op5_secrets(spark, sf_dir):
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
 
 
-@query()
+@query(sql=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w
+), c AS (
+  SELECT doc_id, len(g) AS n, g, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS k FROM s
+), sets AS (
+  SELECT k, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM c WHERE k IS NOT NULL GROUP BY k
+), t AS (
+  SELECT rep, n, unnest(g) AS g FROM sets
+), p AS (
+  SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), reach(x, y) AS (
+  SELECT rep, rep FROM sets UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y
+), comp AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(comp.component_id, c.doc_id) AS component_id
+FROM c LEFT JOIN sets ON sets.k = c.k LEFT JOIN comp ON comp.x = sets.rep
+""")
 def op1_ngram_jaccard(spark, sf_dir):
     """Near-duplicate components of all documents on four-word shingles at 0.85."""
     return ngram_join.jaccard_components(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@query()
+@query(sql="""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT doc_id, 1000 * c AS base, strlen(h) // 2 AS n, substr(h, 2000 * c + 1, 2100) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2000 + 1)) AS c FROM d)
+), win AS (
+  SELECT doc_id, base + i AS p, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, greatest(least(1000, n - 49 - base), 0))) AS i FROM part)
+), least AS (
+  SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM win JOIN least USING (s) WHERE first_doc < doc_id
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM marked) GROUP BY doc_id, island
+), per AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail FROM spans GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_b FROM spans
+), kept AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * from_b + 1, 2 * (a - from_b)), '' ORDER BY a) || substr(any_value(h), 2 * any_value(tail) + 1) AS k
+  FROM pieces JOIN d USING (doc_id) JOIN per USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, strlen(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.k, d.h))) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+""")
 def op10_suffix_dedup(spark, sf_dir):
     """Bytes of every document that repeat 50 bytes or more of an earlier one."""
     cut = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"))
