@@ -119,12 +119,12 @@ def hot_tokens(sets: DataFrame, hot_max: int = HOT_MAX, least: int = HOT_LEAST):
     """The most frequent 32-bit token prefixes and their counts, at most ``hot_max``.
 
     Tasks exchange sorted runs cut into key ranges, two bytes a token; the number
-    of ranges follows the number of tokens, so that one range is a few million.
+    of ranges follows the number of tokens, so that one range is about a million.
     """
     import numpy as np
 
     total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = min(16, max(5, (total >> 21).bit_length()))
+    bits = min(16, max(5, (total >> 20).bit_length()))
 
     def send(batches):
         import pyarrow as pa
@@ -142,7 +142,7 @@ def hot_tokens(sets: DataFrame, hot_max: int = HOT_MAX, least: int = HOT_LEAST):
             for blob in batch.column(0).to_pylist():
                 keys.append(_unpack(blob) >> 16)
                 held += len(keys[-1])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield flush(keys)
                     keys, held = [], 0
         if held:

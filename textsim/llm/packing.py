@@ -28,7 +28,7 @@ MAX_SEGMENTS = 256
 MAX_LOSS = 2048
 END_ID = 1
 WAITING = 512            # pieces a task holds while it packs
-CACHED_WORDS = 500_000   # words whose ids a worker remembers, and as many parts of words
+CACHED_WORDS = 300_000   # words whose ids a worker remembers, and as many parts of words
 
 _LITTLE = sys.byteorder == "little" and array.array("I").itemsize == 4
 

@@ -36,7 +36,7 @@ MARKS = ".,;:!?#*$%&|\"'()[]<>"
 MIN_LIFT, MIN_Z, MIN_COUNT = 3.0, 6.0, 4
 MEMBERS, STEPS, RATE, DECAY = 5, 300, 0.05, 1e-5
 TOXIC_AT = 0.7
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 RATE_SCALE, RATE_PAD = 40.0, 4.0
 
 
