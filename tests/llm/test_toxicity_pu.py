@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from textsim.llm import toxicity_pu as T
 
@@ -39,3 +40,23 @@ def test_edges(spark):
     assert got[195] > 0.7 > got[196] and got[502] > 0.7 and got[500] == got[501] < 0.5
     assert T.toxicity(docs, labels.limit(0)).agg({"score": "max"}).first()[0] < 0.5
     assert T.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_unspaced_runs_are_read_to_their_end(spark):
+    run = lambda i, bad: "".join(chr(0x4E00 + (i * 7919 + k * 104729) % 3000) for k in range(150)) + ("毒恶辱骂" * bad) + "好" * (i % 7)
+    docs = spark.createDataFrame([(i, run(i, i % 5 == 0)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels, F.col("doc_id") < 200).collect()}
+    assert all((got[i] >= T.TOXIC_AT) == (i % 5 == 0) for i in range(200, 400))
+
+
+def test_every_marked_word_is_learned(spark):
+    """Forty toxic words, each frequent enough to pass, make far more than 256 n-grams."""
+    import hashlib
+
+    marks = ["".join(chr(97 + b % 26) for b in hashlib.md5(b"%d" % k).digest()[:9]) for k in range(40)]
+    calm = "calm words here and there for a while " * 4
+    docs = spark.createDataFrame([(i, calm + (marks[i // 16 % 40] if i % 16 == 0 else "")) for i in range(6400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 16 == 0)) for i in range(3200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels, F.col("doc_id") < 3200).collect()}
+    assert all((got[i] >= T.TOXIC_AT) == (i % 16 == 0) for i in range(3200, 6400))

@@ -3,24 +3,28 @@
 Only confirmed toxic examples and unlabelled text are used. The features of a
 document are rates: how often words with a certain character n-gram occur,
 per word. An n-gram is used when its rate in the positives is clearly above that
-in unlabelled text. Several linear classifiers (numpy) minimise the
+in unlabelled text; every such n-gram is used. Several linear classifiers (numpy) minimise the
 class-prior-corrected risk
 
     prior * E_pos[loss(z)] + max(0, E_unl[loss(-z)] - prior * E_pos[loss(-z)])
 
 each on its own half of the features; the score is the mean of their outputs.
 
+A run without white space is read to its end. One of more than ``STRETCH``
+characters (scripts without spaces, words glued by signs) counts as a word for
+each stretch, so that its rates compare with those of spaced text.
+
 Scale: the model is fitted on a bounded sample of rows (``MAX_POSITIVE``,
-``MAX_UNLABELLED``, those with the smallest hashes), of which the driver sees
-``MAX_FEATURES`` numbers at most; every document is scored where it lies, without
-a shuffle, and what a task holds is one batch and a bounded memory of words.
+``MAX_UNLABELLED``, those with the smallest hashes), whose distinct rows of hits
+the driver holds sparsely; every document is scored where it lies, without a
+shuffle, and what a task holds is one batch and a bounded memory of words.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +33,9 @@ from textsim.llm.words import small_batches, text_of
 
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 9_000
-MAX_FEATURES = 256
 BINS = 1 << 18
 GRAMS = (3, 4, 5, 6)
+STRETCH = 42             # n-grams that start in one stretch of a word count once
 MARKS = ".,;:!?#*$%&|\"'()[]<>"
 MIN_LIFT, MIN_Z, MIN_COUNT = 3.0, 6.0, 4
 MEMBERS, STEPS, RATE, DECAY = 5, 300, 0.05, 1e-5
@@ -40,10 +44,15 @@ CACHED_WORDS = 150_000
 RATE_SCALE, RATE_PAD = 40.0, 4.0
 
 
-def gram_bins(word: str) -> list[int]:
-    """Bins of the distinct character n-grams of a word, its ends marked; long words by their first 40 characters."""
-    w = f"^{word[:40]}$"
-    return list({zlib.crc32(w[i:i + n].encode()) % BINS for n in GRAMS for i in range(len(w) - n + 1)})
+def gram_bins(word: str) -> Iterator[list[int]]:
+    """For each stretch of a word, its ends marked, the bins of the distinct character n-grams that start there."""
+    w = f"^{word}$"
+    for at in range(0, len(w), STRETCH):
+        yield list({zlib.crc32(w[i:i + n].encode()) % BINS for n in GRAMS for i in range(at, min(at + STRETCH, len(w) - n + 1))})
+
+
+def stretches(word: str) -> int:
+    return -(-(len(word) + 2) // STRETCH)
 
 
 def words_of(text: str) -> list[str]:
@@ -58,9 +67,10 @@ class Rates:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def _places(self, word: str) -> tuple[int, ...]:
+        """Places of the selected bins that a word hits, once per stretch."""
         got = self.memo.get(word)
         if got is None:
-            got = tuple(sorted(self.place[b] for b in gram_bins(word.strip(MARKS)) if b in self.place))
+            got = tuple(sorted(self.place[b] for bins in gram_bins(word.strip(MARKS)) for b in bins if b in self.place))
             if len(self.memo) >= CACHED_WORDS:
                 self.memo.clear()
             if len(word) <= 64:
@@ -70,33 +80,61 @@ class Rates:
     def of(self, text: str) -> dict[int, float]:
         words = words_of(text)
         hits = Counter(p for places in map(self._places, words) if places for p in places)
-        scale = RATE_SCALE / (len(words) + RATE_PAD)
-        return {p: min(n * scale, 4.0) for p, n in hits.items()}
+        n = len(words) + sum(stretches(w.strip(MARKS)) - 1 for w in words if len(w) > STRETCH - 2)
+        scale = RATE_SCALE / (n + RATE_PAD)
+        return {p: min(k * scale, 4.0) for p, k in hits.items()}
+
+
+class Rows:
+    """Sparse rows with their numbers of occurrences; the last column, all ones, is the offset."""
+
+    def __init__(self, lengths, places, values, n, width: int):
+        import numpy as np
+
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.place, self.value, self.size, self.width = places, values, len(lengths), width
+        self.share = n / n.sum()
+
+    def __matmul__(self, w):
+        import numpy as np
+
+        return np.bincount(self.row, self.value * w[self.place], self.size) + w[-1]
+
+    def back(self, v):
+        """v @ the rows."""
+        import numpy as np
+
+        return np.append(np.bincount(self.place, self.value * v[self.row], self.width), v.sum())
+
+    @classmethod
+    def dense(cls, x) -> Rows:
+        import numpy as np
+
+        rows, n = np.unique(np.asarray(x, float), axis=0, return_counts=True)
+        at, place = np.nonzero(rows)
+        return cls(np.bincount(at, minlength=len(rows)), place, rows[at, place], n, rows.shape[1])
 
 
 def train(x_pos, x_unl, prior: float, seed: int = 7):
     """Weights (members x (features + 1), the last the offset) by full-batch Adam on the
-    non-negative risk with the logistic loss."""
+    non-negative risk with the logistic loss; both inputs are ``Rows`` or dense matrices."""
     import numpy as np
 
     rng, out = np.random.default_rng(seed), []
-
-    def distinct(x):  # most documents have no hit at all: equal rows become one with their share as weight
-        rows, n = np.unique(np.asarray(x, float), axis=0, return_counts=True)
-        return np.hstack([rows, np.ones((len(rows), 1))]), n / n.sum()
-    (p, of_p), (u, of_u) = distinct(x_pos), distinct(x_unl)
+    p, u = (x if isinstance(x, Rows) else Rows.dense(x) for x in (x_pos, x_unl))
+    of_p, of_u, width = p.share, u.share, p.width + 1
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for _ in range(MEMBERS):
-        used = np.append(rng.random(p.shape[1] - 1) < 0.5, True)
+        used = np.append(rng.random(width - 1) < 0.5, True)
         if used.sum() < min(8, len(used)):
             used[:] = True
-        w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
+        w, m, v = np.zeros(width), 0.0, 0.0
         w[-1] = -1.0
         for step in range(1, STEPS + 1):
             zp, zu = p @ w, u @ w
             negative = of_u @ np.logaddexp(0, zu) - prior * (of_p @ np.logaddexp(0, zp))
-            of_negative = (of_u * sigmoid(zu)) @ u - prior * ((of_p * sigmoid(zp)) @ p)
-            of_positive = -prior * ((of_p * sigmoid(-zp)) @ p)
+            of_negative = u.back(of_u * sigmoid(zu)) - prior * p.back(of_p * sigmoid(zp))
+            of_positive = -prior * p.back(of_p * sigmoid(-zp))
             g = of_positive + of_negative if negative >= 0 else -of_negative
             g = (g + DECAY * np.append(w[:-1], 0.0)) * used
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -124,14 +162,23 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float) -> tuple[list[int],
         import pyarrow as pa
 
         words = {0: Counter(), 1: Counter()}
+        totals = {toxic: np.zeros(BINS + 1, dtype=np.int64) for toxic in words}
+
+        def add(n, word, times):
+            n[BINS] += times * stretches(word)
+            for bins in gram_bins(word):
+                n[bins] += times
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words[toxic].update(w.strip(MARKS) for w in words_of(text))
-        for toxic, counted in words.items():
-            n = np.zeros(BINS + 1, dtype=np.int64)
-            n[BINS] = sum(counted.values())
-            for w, c in counted.items():
-                n[gram_bins(w)] += c
+                for w in words_of(text):
+                    w = w.strip(MARKS)
+                    if len(w) > 64:
+                        add(totals[toxic], w, 1)
+                    else:
+                        words[toxic][w] += 1
+        for toxic, n in totals.items():
+            for w, c in words[toxic].items():
+                add(n, w, c)
             at = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(at), pa.int32()), pa.array(at), pa.array(n[at])],
                                              names=["toxic", "bin", "n"])
@@ -147,8 +194,8 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float) -> tuple[list[int],
     chosen = (counted.where((F.col("bin") < BINS) & (F.col("p") >= MIN_COUNT))
               .withColumn("z", (F.col("p") - expected) / F.sqrt(expected))
               .where((F.col("z") >= MIN_Z) & (F.col("p") >= MIN_LIFT * expected))
-              .orderBy(F.col("z").desc(), "bin").limit(MAX_FEATURES).select("bin"))
-    selected = [r["bin"] for r in chosen.collect()]
+              .select("bin"))
+    selected = sorted(r["bin"] for r in chosen.collect())
 
     def features(batches):
         import pyarrow as pa
@@ -160,15 +207,17 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float) -> tuple[list[int],
                 batch.column(1), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())),
                 pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))], names=["toxic", "places", "rates"])
 
-    import numpy as np
+    rows = sample.mapInArrow(features, "toxic int, places array<int>, rates array<double>").groupBy("toxic", "places", "rates").count(
+        ).orderBy("toxic", F.xxhash64("places", "rates"), "places", "rates").toArrow().combine_chunks()
+
+    def of(toxic: int) -> Rows:
+        import pyarrow.compute as pc
 
-    x = {0: [], 1: []}
-    for r in sample.mapInArrow(features, "toxic int, places array<int>, rates array<double>").orderBy(
-            "toxic", F.xxhash64("places", "rates"), "places", "rates").collect():
-        row = np.zeros(len(selected))
-        row[r["places"]] = r["rates"]
-        x[r["toxic"]].append(row)
-    return selected, train(x[1], x[0], prior).tolist()
+        mine = rows.filter(pc.equal(rows["toxic"], toxic))
+        lengths = pc.list_value_length(mine["places"]).to_numpy()
+        return Rows(lengths, pc.list_flatten(mine["places"]).to_numpy(), pc.list_flatten(mine["rates"]).to_numpy(),
+                    mine["count"].to_numpy(), len(selected))
+    return selected, train(of(1), of(0), prior).tolist()
 
 
 def score(docs: DataFrame, model: tuple[list[int], list[list[float]]]) -> DataFrame:
