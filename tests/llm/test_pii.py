@@ -70,3 +70,21 @@ def test_redact_and_edges(spark):
     got = [tuple(r) for r in pii.redact(df).orderBy(F.col("doc_id").asc_nulls_last()).collect()]
     assert got == [(1, "mail <email> or <ip>!", "x"), (2, "", None), (None, None, "y")]
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_context_reaches_past_other_matches(spark):
+    texts = ["SSN: 123-45-6789, 223-45-6789", "123-45-6789 and 223-45-6789 are the SSNs", "123-45-6789, 223-45-6789", "+1 22 +1 22 " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.kind) for s in r.spans if s.kind == "ssn"] for r in pii.find_pii(df).collect()}
+    assert got == {0: [(5, "ssn"), (18, "ssn")], 1: [(0, "ssn"), (16, "ssn")], 2: [], 3: []}
+
+
+def test_windows_are_those_of_the_whole_text(spark):
+    texts = ["", "1.2.3.4", "ü 1.2.3.4 ö5.6.7.8 9.9.9.9", "1.2.3.4 " * 30 + "é" * 60 + "1.2.3.4" + " ü1.2.3.4" * 9]
+    p = pii.PATTERNS["ip"]
+    hits, pieces = F.regexp_extract_all("text", F.lit(p), F.lit(0)), F.split("text", p, -1)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", pii.texts_before(hits, pieces, 48, 4).alias("b"), pii.texts_after(hits, pieces, 48, 4).alias("a")).collect()
+    for r in rows:
+        spans = [m.span() for m in re.finditer(pii.PLAIN["ip"], r.text)]
+        assert r.b == [r.text[max(0, s - 48):s] for s, _ in spans] and r.a == [r.text[e:e + 48] for _, e in spans]

@@ -57,3 +57,9 @@ def test_documents(spark):
         planted = re.findall(r'token = "([0-9a-f]{40})"', t, re.I)
         got = [t[a:b] for a, b in (map(int, s.split(":")) for s in rows[i].spans.split(",") if s)]
         assert set(planted) <= set(got), (i, planted, got)
+
+
+def test_context_reaches_past_the_candidate_before(spark):
+    text = f'client_secret_v2 = "{HEX}" end'
+    got = S.find_secrets(spark.createDataFrame([(text,)], "text string")).first()
+    assert got.n_candidates == 2 and [text[s.start:s.end] for s in got.secrets] == [HEX]

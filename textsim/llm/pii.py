@@ -51,7 +51,8 @@ CONTEXT = {
     "ssn": ("ssn", "social security", "taxpayer", "tax id"),
 }
 AGAINST = ("version", "example", "isbn", "serial", "order no", "part no")
-NEAR = 48                # characters before a match that are read for context words
+NEAR = 48                # characters before and after a match that are read for context words, those against it only before
+LEAST = 4                # characters of the shortest match
 CONTEXT_GAIN, CONTEXT_LOSS = 0.3, 0.3
 KEEP_AT = 0.6            # kinds besides the base ones need this score
 
@@ -78,6 +79,25 @@ def running_before(values: Column) -> Column:
     return let(values, lambda v: let(by_chunk(v), lambda c: let(offsets(c), lambda o: placed(v, o))))
 
 
+def texts_before(hits: Column, pieces: Column, n: int, least: int) -> Column:
+    """For each match the ``n`` characters of the text before it, earlier matches included,
+    by way of the pieces, as many back as matches of ``least`` characters can fill ``n``."""
+    back = -(-n // least)
+    ahead = F.slice(pieces, F.lit(1), F.size(hits))
+    last = lambda s: F.substring(s, -n, n)
+    return let(F.zip_with(ahead, hits, lambda p, h: last(F.concat(p, h))), lambda ends: F.transform(ahead, lambda p, i: last(F.concat(
+        F.array_join(F.slice(ends, F.greatest(F.lit(1), i - back + 1), F.least(i, F.lit(back))), ""), p))))
+
+
+def texts_after(hits: Column, pieces: Column, n: int, least: int) -> Column:
+    """For each match the ``n`` characters of the text after it, later matches included."""
+    first = lambda s: F.substring(s, 1, n)
+    # piece and match that follow each match; the last piece has no match behind it
+    follow = F.zip_with(F.slice(pieces, F.lit(2), F.size(hits)), F.slice(hits, F.lit(2), F.size(hits)),
+                        lambda p, h: first(F.concat(p, F.coalesce(h, F.lit("")))))
+    return let(follow, lambda f: F.transform(f, lambda _, i: first(F.array_join(F.slice(f, i + 1, F.lit(-(-n // least) + 1)), ""))))
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -129,17 +149,18 @@ def _spans(kind: str, hits: Column, pieces: Column) -> Column:
     before = F.slice(pieces, F.lit(1), F.size(hits))
     starts = running_before(F.zip_with(before, hits, lambda p, h: F.length(p) + F.length(h)))
 
-    def scored(hit: Column, piece: Column, start: Column) -> Column:
-        near = F.lower(F.substring(piece, F.greatest(F.lit(1), F.length(piece) - NEAR + 1), F.lit(NEAR)))
-        score = let(near, lambda n: F.lit(CONFIRMED[kind]) + F.when(_mentions(n, CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
-                    - F.when(_mentions(n, AGAINST), CONTEXT_LOSS).otherwise(0.0))
+    def scored(hit: Column, near: Column, after: Column, start: Column) -> Column:
+        score = let(F.struct(F.lower(near).alias("b"), F.lower(after).alias("a")), lambda n: F.lit(CONFIRMED[kind])
+                    + F.when(_mentions(n["b"], CONTEXT[kind]) | _mentions(n["a"], CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
+                    - F.when(_mentions(n["b"], AGAINST), CONTEXT_LOSS).otherwise(0.0))
         return F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
                         (start + F.length(hit)).cast("long").alias("end"),
                         F.when(_confirmed(kind, hit), F.least(score, F.lit(1.0))).alias("score"))
 
     def span(z: Column) -> Column:
-        return scored(z["hit"], z["piece"], z["start"] + F.length(z["piece"]))
-    zipped = F.arrays_zip(hits.alias("hit"), before.alias("piece"), starts.alias("start"))
+        return scored(z["hit"], z["before"], z["after"], z["start"] + F.length(z["piece"]))
+    zipped = F.arrays_zip(hits.alias("hit"), before.alias("piece"), starts.alias("start"),
+                          texts_before(hits, pieces, NEAR, LEAST).alias("before"), texts_after(hits, pieces, NEAR, LEAST).alias("after"))
     keep = (lambda s: s["score"].isNotNull()) if kind in BASE else (lambda s: s["score"] >= KEEP_AT)
     return F.filter(F.transform(zipped, span), keep)
 

@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm.pii import running_before
+from textsim.llm.pii import running_before, texts_after, texts_before
 from textsim.llm.words import let, text_of
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
+LEAST = 12               # characters of the shortest candidate
 BEFORE, AFTER = 40, 16
 SECRET_AT = 0.5
 TREES, DEPTH, N_EXAMPLES = 15, 6, 4_000
@@ -50,7 +51,7 @@ def features(value: Column, before: Column, after: Column) -> Column:
         flag(value.rlike("^[0-9]+$")), flag(value.rlike("^[0-9a-fA-F]+$")),
         flag(value.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-")),
         flag(value.rlike("/.*/") | before.rlike("[/.]$") | after.rlike("^\\.[a-z]{2,5}\\b")),   # path
-        flag(near.rlike(f"({KEY_WORDS})[a-z_]*[\"']?\\s*(is|:|=|:=|=>)?\\s*[\"']?(bearer )?$")), flag(near.rlike(KEY_WORDS)),
+        flag(near.rlike(f"({KEY_WORDS})[a-z0-9_]*[\"']?\\s*(is|:|=|:=|=>)?\\s*[\"']?(bearer )?$")), flag(near.rlike(KEY_WORDS)),
         flag(near.rlike(HASH_WORDS)), flag(near.rlike(NUMBER_WORDS)),            # neighbouring words
         flag(before.rlike("[=:]\\s*[\"']?$")), flag(before.rlike("[\"']$") & after.rlike("^[\"']")))
 
@@ -137,13 +138,13 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, secret_at:
     some = found.withColumn("_sec_pieces", F.when(F.size("_sec_hits") > 0, F.split("_sec_text", CANDIDATE, -1)))
     hits, pieces = F.col("_sec_hits"), F.col("_sec_pieces")
     ahead = F.slice(pieces, F.lit(1), F.size(hits))
-    zipped = F.arrays_zip(hits.alias("value"), ahead.alias("before"), F.slice(pieces, F.lit(2), F.size(hits)).alias("after"),
+    zipped = F.arrays_zip(hits.alias("value"), ahead.alias("piece"), texts_before(hits, pieces, BEFORE, LEAST).alias("before"),
+                          texts_after(hits, pieces, AFTER, LEAST).alias("after"),
                           running_before(F.zip_with(ahead, hits, lambda p, v: F.length(p) + F.length(v))).alias("start"))
 
     def judged(z: Column) -> Column:
-        start = (z["start"] + F.length(z["before"])).cast("long")
-        before = F.substring(z["before"], F.greatest(F.lit(1), F.length(z["before"]) - BEFORE + 1), F.lit(BEFORE))
-        score = let(features(z["value"], before, F.substring(z["after"], 1, AFTER)), lambda x: vote(x, forest))
+        start = (z["start"] + F.length(z["piece"])).cast("long")
+        score = let(features(z["value"], z["before"], z["after"]), lambda x: vote(x, forest))
         return F.struct(start.alias("start"), (start + F.length(z["value"])).alias("end"), score.alias("score"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,score:double>>")
     return some.withColumn("n_candidates", F.size(hits).cast("long")).withColumn(
