@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, ngram_join, packing, pii, quality_llr, secret_forest, suffix_dedup, topk_search, toxicity_pu
+from textsim.llm import label_shards, mixing, ngram_join, packing, phrase_mining, pii, quality_llr, secret_forest, suffix_dedup, topk_search, toxicity_pu
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -207,3 +207,44 @@ def op10_suffix_dedup(spark, sf_dir):
     """Bytes of every document that repeat 50 bytes or more of an earlier one."""
     cut = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(sql=r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d
+), words AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k:
+    list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase
+  FROM words WHERE len(w) > 0
+), f AS (
+  SELECT lang, phrase, count(*) AS f, len(string_split(phrase, ' ')) AS words FROM grams GROUP BY lang, phrase
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE words > 1 AND f >= 100
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first_part,
+    array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n.n,
+    CAST((CAST(1000 AS HUGEINT) * a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first_part
+    JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN n ON n.lang = cuts.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c g ON g.lang = s.lang AND g.words > s.words AND g.f >= s.f
+    AND instr(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') > 0
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = best.lang AND inside.phrase = best.phrase)
+QUALIFY rank <= 2000
+""")
+def op13_phrase_mining(spark, sf_dir):
+    """The collocations of every language."""
+    return phrase_mining.collocations(load(spark, sf_dir, "documents", "doc_id", "text", "lang"))
