@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import label_shards, mixing, ngram_join, packing, phrase_mining, pii, quality_llr, secret_forest, suffix_dedup, topk_search, toxicity_pu
+from textsim.llm import (conversation_repair, label_shards, mixing, ngram_join, packing, phrase_mining, pii, quality_llr, secret_forest,
+                         suffix_dedup, topk_search, toxicity_pu)
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -248,3 +249,76 @@ QUALIFY rank <= 2000
 def op13_phrase_mining(spark, sf_dir):
     """The collocations of every language."""
     return phrase_mining.collocations(load(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query(sql=r"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS BIGINT) AS x, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (
+  SELECT list(x ORDER BY i) AS tab FROM bits WHERE k = 8
+), keyed AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, tab,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b
+  FROM conversations, tab
+), hit AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS d FROM keyed
+), damaged AS (
+  SELECT c, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) FROM hit WHERE d <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(strlen(role) || ':' || role || text)) - 1 AS i FROM damaged
+), judged AS (
+  SELECT *, role[1] AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault,
+    lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before
+  FROM placed
+), written(a, b, role) AS (
+  VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')
+), ops AS (
+  SELECT a, b, 'K' AS letter, 0 AS w, role FROM written
+  UNION ALL SELECT a, b, 'R', 1, NULL FROM written WHERE role <> 's'
+  UNION ALL SELECT a, a, 'D', 2, NULL FROM (VALUES (0), (1), (2), (3)) AS t(a)
+), ins(a, b, k) AS (
+  VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)
+), label AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, b AS state, printf('%012d', 5 * k) || repeat('I', k) AS label FROM (SELECT DISTINCT c FROM judged), ins WHERE a = 0
+  UNION ALL
+  SELECT c, i + 1, state, min(label) FROM (
+    SELECT l.c, l.i, ins.b AS state, printf('%012d', CAST(l.label[1:12] AS BIGINT) + ops.w + CASE WHEN letter <> 'D' AND fault = 't' THEN 5 ELSE 0 END + 5 * ins.k)
+      || l.label[13:] || letter || repeat('I', ins.k) AS label
+    FROM label l JOIN judged r ON r.c = l.c AND r.i = l.i JOIN ops ON ops.a = l.state AND (ops.role IS NULL OR ops.role = initial)
+      AND (letter = 'D' OR fault NOT IN ('b', 'd')) JOIN ins ON ins.a = ops.b
+  ) GROUP BY c, i, state
+), total AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY c
+), best AS (
+  SELECT l.c, min(label) AS label FROM label l JOIN total t ON t.c = l.c AND t.n = l.i WHERE state IN (0, 3) GROUP BY l.c
+), letters AS (
+  SELECT c, audit, unnest(range(1, len(audit) + 1)) AS j FROM (SELECT c, label[13:] AS audit FROM best)
+), lines AS (
+  SELECT l.c, j, audit[j] AS letter, len(replace(audit[1:j], 'I', '')) - 1 AS i, len(replace(audit[1:j], 'D', '')) - 1 + len(replace(audit, 'D', '')) % 2 AS p
+  FROM letters l
+), digest AS (
+  SELECT lines.c, sha256(string_agg(CASE WHEN letter = 'K' THEN r.role WHEN p % 2 = 0 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN letter = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY j)) AS h
+  FROM lines LEFT JOIN judged r ON r.c = lines.c AND r.i = lines.i WHERE letter <> 'D' GROUP BY lines.c
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(label[1:12] AS BIGINT), 0) AS cost, coalesce(label[13:], '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM keyed) k LEFT JOIN total USING (c) LEFT JOIN best USING (c) LEFT JOIN digest USING (c)
+""")
+def op12_conversation_repair(spark, sf_dir):
+    """Faults of every damaged conversation, its cheapest edit script and the digest of what it leaves."""
+    damaged = conversation_repair.damage(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    found, repaired = conversation_repair.repair(damaged)
+    lines = conversation_repair.digests(repaired).select(F.col("conv_id").alias("c"), "repaired_sha256")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return found.join(lines, found["conv_id"].eqNullSafe(lines["c"]), "left").select(
+        *found.columns, F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
