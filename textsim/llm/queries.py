@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsim.llm import (conversation_repair, label_shards, mixing, ngram_join, packing, phrase_mining, pii, quality_llr, secret_forest,
-                         suffix_dedup, topk_search, toxicity_pu)
+from textsim.llm import (circulant_minhash, conversation_repair, label_shards, mixing, ngram_join, packing, phrase_mining, pii, quality_llr,
+                         secret_forest, suffix_dedup, topk_search, toxicity_pu)
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -322,3 +322,36 @@ def op12_conversation_repair(spark, sf_dir):
     none = F.sha2(F.lit("").cast("binary"), 256)
     return found.join(lines, found["conv_id"].eqNullSafe(lines["c"]), "left").select(
         *found.columns, F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
+
+
+@query(sql=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM w
+), c AS (
+  SELECT doc_id, len(g) AS n, g, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS k FROM s
+), sets AS (
+  SELECT k, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM c WHERE k IS NOT NULL GROUP BY k
+), t AS (
+  SELECT rep, n, unnest(g) AS g FROM sets
+), p AS (
+  SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), reach(x, y) AS (
+  SELECT rep, rep FROM sets UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y
+), comp AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(comp.component_id, c.doc_id) AS component_id,
+  c.doc_id = coalesce(comp.component_id, c.doc_id) AS kept
+FROM c LEFT JOIN sets ON sets.k = c.k LEFT JOIN comp ON comp.x = sets.rep
+""")
+def op11_circulant_minhash(spark, sf_dir):
+    """Near-duplicate components of all documents on three-word shingles at 0.85, and the document of each that stays."""
+    found = circulant_minhash.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
