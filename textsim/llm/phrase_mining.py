@@ -29,9 +29,9 @@ LONGEST = 5              # words
 SAMPLE_OF = 8            # one document in so many proposes
 TOP = 2000               # collocations reported of a language
 TABLE_BITS = 27          # of a bit table, at most
-BLOCK_WORDS = 1 << 21    # words that a task counts at once
-PART_BYTES = 1 << 22     # of a long text taken at once, up to the next end of a piece
-VOCABULARY = 400_000     # words a task knows by number before it starts anew
+BLOCK_WORDS = 1 << 20    # words that a task counts at once
+PART_BYTES = 1 << 21     # of a long text taken at once, up to the next end of a piece
+VOCABULARY = 250_000     # words a task knows by number before it starts anew
 CHUNK_BITS = 19
 
 _MIX = 0x9E3779B97F4A7C15
@@ -73,8 +73,6 @@ def _has(table, h):
 
 def bit_tables(phrases: DataFrame, longest: int = LONGEST) -> dict:
     """{words: (bits, cells)} of the phrases (lang, phrase) shorter than ``longest``."""
-    import numpy as np
-
     phrases = phrases.withColumn("words", F.size(F.split("phrase", " "))).where(F.col("words") < longest)
     sizes = {r["words"]: min(TABLE_BITS, max(CHUNK_BITS, (16 * r["count"]).bit_length()))
              for r in phrases.groupBy("words").count().collect()}
@@ -88,6 +86,14 @@ def bit_tables(phrases: DataFrame, longest: int = LONGEST) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array([x >> (64 - sizes[k]) for x, k in zip(h, words)], pa.int64())],
                                              names=["words", "slot"])
 
+    marked = phrases.select("lang", "phrase", "words").mapInArrow(slots, "words int, slot long").distinct()
+    return _packed(marked, sizes)
+
+
+def _packed(slots: DataFrame, sizes: dict) -> dict:
+    """Bit tables of distinct (words, slot), ``sizes[words]`` bits wide, put together from chunks of 64 KB."""
+    import numpy as np
+
     def pack(table):
         import pyarrow as pa
 
@@ -96,8 +102,7 @@ def bit_tables(phrases: DataFrame, longest: int = LONGEST) -> dict:
         cells[slot & ((1 << CHUNK_BITS) - 1)] = 1
         return pa.table({"words": table.column("words")[:1], "chunk": pa.array([int(slot[0]) >> CHUNK_BITS], pa.int64()),
                          "cells": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
-    marked = phrases.select("lang", "phrase", "words").mapInArrow(slots, "words int, slot long").distinct()
-    chunks = marked.groupBy("words", F.expr(f"shiftright(slot, {CHUNK_BITS})").alias("chunk")).applyInArrow(pack, "words int, chunk long, cells binary")
+    chunks = slots.groupBy("words", F.expr(f"shiftright(slot, {CHUNK_BITS})").alias("chunk")).applyInArrow(pack, "words int, chunk long, cells binary")
     tables = {k: (bits, np.zeros(1 << (bits - 3), np.uint8)) for k, bits in sizes.items()}
     width = 1 << (CHUNK_BITS - 3)
     for r in chunks.collect():
@@ -134,7 +139,7 @@ def _parts(data: bytes):
 
 
 def _block_counts(ids, hashes, members, sizes, tables, old):
-    """Counts within one block of word numbers (0 ends a piece): yields (words, matrix of word numbers, counts).
+    """Counts within one block of word numbers (0 ends a piece): yields (words, matrix of word numbers, counts, hashes).
 
     ``members`` are, by word number, those taken as frequent and those taken so when
     ``old`` was counted. With ``old`` only what was not counted then is yielded.
@@ -145,22 +150,23 @@ def _block_counts(ids, hashes, members, sizes, tables, old):
         n = np.bincount(ids)
         n[0] = 0
         seen = np.flatnonzero(n)
-        yield 1, seen[:, None], n[seen]
+        yield 1, seen[:, None], n[seen], hashes[seen]
     taken, was = members[0][ids], members[1][ids] if old is not None else None
     dense, of_hash = ids, hashes
     for k in range(2, max(sizes) + 1):
         at = np.flatnonzero(taken[:-1] & taken[1:])
+        at = at[at + k - 1 < len(ids)]
         if not len(at):
             return
-        at = at[at + k - 1 < len(ids)]
         code = (dense[at].astype(np.int64) << 32) | ids[at + k - 1]
-        _, first, inverse, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        code, first, inverse, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        inverse = inverse.astype(np.int32)
         head = at[first]
         of_hash = _extend(of_hash[dense[head]], hashes[ids[head + k - 1]])
         known = was[head] & was[head + 1] if old is not None else np.zeros(len(head), bool)
         if k in sizes:
             rows = np.flatnonzero(~known)
-            yield k, ids[head[rows, None] + np.arange(k)], count[rows]
+            yield k, ids[head[rows, None] + np.arange(k)], count[rows], of_hash[rows]
         if k == max(sizes):
             return
         take = _has(tables.get(k), of_hash)
@@ -175,76 +181,140 @@ def _block_counts(ids, hashes, members, sizes, tables, old):
         dense[at] = inverse
 
 
-def count_phrases(docs: DataFrame, sizes: range, tables: dict, old: dict | None = None) -> DataFrame:
-    """lang, phrase, n of the phrases of ``sizes`` words whose two parts are in ``tables``; of
-    all words for size 1, with one more row a language, phrase '', that counts its words."""
+def _blocks(batches):
+    """Blocks of about ``BLOCK_WORDS`` words of rows (lang, text): (ids, hashes, words, languages by number, names of
+    languages); ids are word numbers, 0 after each document and at the end of each piece."""
+    import numpy as np
+    import xxhash
+
+    numbers, words, langs, h, blocks, held = {}, [], [], [], [], 0
+    lang_of, names = {}, []
+
+    def start():
+        words[:], langs[:], h[:] = [_END], [0], [0]
+        numbers.clear()
+    start()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if lang not in lang_of:
+                lang_of[lang] = (len(names), xxhash.xxh32_intdigest(lang))
+                names.append(lang)
+            number, seed = lang_of[lang]
+            for part in _parts(text.encode("utf-8", "surrogatepass").translate(_TO)):
+                tokens = part.replace(_END, b" \xff ").split()
+                mine = numbers.setdefault(lang, {_END: 0})
+                for w in set(tokens).difference(mine):
+                    mine[w] = len(words)
+                    words.append(w)
+                    langs.append(number)
+                    h.append(xxhash.xxh3_64_intdigest(w, seed))
+                blocks.append(np.fromiter(map(mine.__getitem__, tokens), np.int32, len(tokens)))
+                blocks.append(np.zeros(1, np.int32))
+                held += len(tokens) + 1
+                if held >= BLOCK_WORDS:
+                    yield np.concatenate(blocks), np.array(h, np.uint64), words, np.array(langs, np.int32), names
+                    blocks.clear()
+                    held = 0
+                    if len(words) > VOCABULARY:
+                        start()
+    if blocks:
+        yield np.concatenate(blocks), np.array(h, np.uint64), words, np.array(langs, np.int32), names
+
+
+def _members(hashes, tables, old):
+    """Which words are taken as frequent, now and when ``old`` was counted; the end of a piece never is."""
+    out = [None if t is None else _has(t.get(1), hashes) for t in (tables, old)]
+    for m in out:
+        if m is not None:
+            m[0] = False
+    return out
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"))
+
+
+def bounded(docs: DataFrame, longest: int, tables: dict, least: int, words: int):
+    """A bit table of the hash buckets in which phrases of 1 to ``longest`` words whose parts are in ``tables`` occur
+    ``least`` times or more together: no phrase outside it is frequent.
+
+    ``words`` is about the number of words in docs; the number of buckets follows it (a key range
+    of 2^24 buckets for each million words). Tasks exchange sorted buckets, a row a block of words and key range.
+    """
+    import numpy as np
+
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tables, old))
+    range_bits = min(24, max(4, (words >> 20).bit_length()))
+    shared = spark.sparkContext.broadcast(tables)
+
+    def run(batches):
+        import pyarrow as pa
+
+        tables = shared.value
+        sizes = range(1, longest + 1)
+        for ids, hashes, *_ in _blocks(batches):
+            found = [(h >> np.uint64(40 - range_bits), n) for _, _, n, h in _block_counts(ids, hashes, _members(hashes, tables, None), sizes, tables, None)]
+            key, n = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            times = (n + 254) // 255                       # a count of more than a byte holds takes several places
+            key = np.repeat(key, times)
+            last = np.cumsum(times) - 1
+            place = np.full(len(key), 255, np.uint8)
+            place[last] = n - 255 * (times - 1)
+            edges = np.flatnonzero(np.diff(key >> np.uint64(24), prepend=np.uint64(1 << 40)))
+            ends = np.append(edges[1:], len(key))
+            low, high = (key & np.uint64(0xFFFF)).astype("<u2"), (key >> np.uint64(16)).astype(np.uint8)
+            for a in range(0, len(edges), 4096):
+                part = list(zip(edges[a:a + 4096].tolist(), ends[a:a + 4096].tolist()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(key[x]) >> 24 for x, _ in part], pa.int32()), pa.array([low[x:y].tobytes() for x, y in part], pa.binary()),
+                    pa.array([high[x:y].tobytes() for x, y in part], pa.binary()), pa.array([place[x:y].tobytes() for x, y in part], pa.binary())],
+                    names=["range", "low", "high", "n"])
+
+    def add(table):
+        import pyarrow as pa
+
+        columns = [table.column(c).to_pylist() for c in ("low", "high", "n")]
+        low, high, n = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, ("<u2", np.uint8, np.uint8)))
+        key, at = np.unique(low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16), return_inverse=True)
+        key = key[np.bincount(at, n) >= least].astype(np.int64)
+        return pa.table({"bucket": pa.array(key | (table.column("range")[0].as_py() << 24))})
+    runs = _texts(docs).mapInArrow(run, "range int, low binary, high binary, n binary")
+    buckets = materialize(runs.groupBy("range").applyInArrow(add, "bucket long"), "phrases-buckets")
+    bits = min(TABLE_BITS, range_bits + 24, max(CHUNK_BITS, (32 * buckets.count()).bit_length()))
+    slots = buckets.select(F.lit(0).alias("words"), F.expr(f"shiftright(bucket, {range_bits + 24 - bits})").alias("slot")).distinct()
+    return _packed(slots, {0: bits}).get(0)
+
+
+def count_phrases(docs: DataFrame, sizes: range, tables: dict, old: dict | None = None, among=None) -> DataFrame:
+    """lang, phrase, n of the phrases of ``sizes`` words whose two parts are in ``tables`` (and which are in the table
+    ``among``, if given); of all words for size 1, with one more row a language, phrase '', that counts its words."""
+    shared = docs.sparkSession.sparkContext.broadcast((tables, old, among))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        import xxhash
-
-        tables, old = shared.value
-        numbers, words, langs, h, blocks, held = {}, [], [], [], [], 0
-        lang_of, lang_list = {}, []
-
-        def flush():
-            ids = np.concatenate(blocks)
-            hashes = np.array(h, np.uint64)
-            members = [_has(t.get(1), hashes) if t is not None else None for t in (tables, old)]
-            for m in members:
-                if m is not None:
-                    m[0] = False
-            text = pa.array(words, pa.binary())
-            of_lang = np.array(langs, np.int32)
-            names = pa.array(lang_list, pa.string())
+
+        tables, old, among = shared.value
+        for ids, hashes, words, of_lang, lang_list in _blocks(batches):
+            text, names = pa.array(words, pa.binary()), pa.array(lang_list, pa.string())
             if 1 in sizes:
-                n = np.bincount(of_lang[ids[ids > 0]], minlength=len(lang_list)) if len(lang_list) else np.zeros(0, np.int64)
+                n = np.bincount(of_lang[ids[ids > 0]], minlength=len(lang_list))
                 yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(lang_list), pa.string()), pa.array(n, pa.int64())],
                                                  names=["lang", "phrase", "n"])
-            with np.errstate(over="ignore"):
-                for k, rows, n in _block_counts(ids, hashes, members, sizes, tables, old):
-                    for a in range(0, len(rows), 1 << 16):
-                        part = rows[a:a + (1 << 16)]
-                        columns = [text.take(pa.array(part[:, j])) for j in range(k)]
-                        phrase = pc.binary_join_element_wise(*columns, b" ") if k > 1 else columns[0]
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang[part[:, 0]])), phrase.cast(pa.string()),
-                                                          pa.array(n[a:a + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
-
-        def start():
-            words[:], langs[:], h[:], blocks[:] = [_END], [0], [0], []
-            numbers.clear()
-        start()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in lang_of:
-                    lang_of[lang] = (len(lang_list), xxhash.xxh32_intdigest(lang))
-                    lang_list.append(lang)
-                number, seed = lang_of[lang]
-                for part in _parts(text.encode("utf-8", "surrogatepass").translate(_TO)):
-                    tokens = part.replace(_END, b" \xff ").split()
-                    mine = numbers.setdefault(lang, {_END: 0})
-                    for w in set(tokens).difference(mine):
-                        mine[w] = len(words)
-                        words.append(w)
-                        langs.append(number)
-                        h.append(xxhash.xxh3_64_intdigest(w, seed))
-                    blocks.append(np.fromiter(map(mine.__getitem__, tokens), np.int32, len(tokens)))
-                    blocks.append(np.zeros(1, np.int32))
-                    held += len(tokens) + 1
-                    if held >= BLOCK_WORDS:
-                        yield from flush()
-                        blocks.clear()
-                        held = 0
-                        if len(words) > VOCABULARY:
-                            start()
-        if blocks:
-            yield from flush()
-    found = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text")).mapInArrow(
-        run, "lang string, phrase string, n long")
+            for k, rows, n, h in _block_counts(ids, hashes, _members(hashes, tables, old), sizes, tables, old):
+                if among is not None:
+                    may = _has(among, h)
+                    rows, n = rows[may], n[may]
+                for a in range(0, len(rows), 1 << 14):
+                    part = rows[a:a + (1 << 14)]
+                    columns = [text.take(pa.array(part[:, j])) for j in range(k)]
+                    phrase = pc.binary_join_element_wise(*columns, b" ") if k > 1 else columns[0]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang[part[:, 0]])), phrase.cast(pa.string()),
+                                                      pa.array(n[a:a + (1 << 14)], pa.int64())], names=["lang", "phrase", "n"])
+    found = _texts(docs).mapInArrow(run, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -255,14 +325,18 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample_of:
     low = max(1, least // (2 * sample_of))
     sample = materialize(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_of)) == 0), "phrases-sample")
     tables: dict = {}
+    words = 0
     for k in range(1, longest):
-        proposed = count_phrases(sample, range(k, k + 1), tables).where((F.col("n") >= low) & (F.col("phrase") != ""))
-        tables.update(bit_tables(materialize(proposed, "phrases-proposed"), longest))
+        proposed = materialize(count_phrases(sample, range(k, k + 1), tables).where((F.col("n") >= low) | (F.col("phrase") == "")), "phrases-proposed")
+        if k == 1:
+            words = sample_of * (proposed.where("phrase = ''").agg(F.sum("n")).first()[0] or 0)
+        tables.update(bit_tables(proposed.where("phrase <> ''"), longest))
         if k not in tables:
             break
 
     frequent = (F.col("n") >= least) | (F.col("phrase") == "")
-    counted = materialize(count_phrases(docs, range(1, longest + 1), tables).where(frequent), "phrases-counted")
+    among = bounded(docs, longest, tables, least, words)
+    counted = materialize(count_phrases(docs, range(1, longest + 1), tables, among=among).where(frequent), "phrases-counted")
     found, old = counted, tables
     while True:
         failed = _absent(counted, old, longest)
