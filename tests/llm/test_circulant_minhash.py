@@ -80,6 +80,15 @@ def test_blocks_find_what_the_smallest_set_of_a_bucket_misses(spark, monkeypatch
     assert got(spark, rows) == brute(rows)
 
 
+def test_candidates_are_verified_until_components_join():
+    agree, component = np.array([100, 90, 110, 95]), np.array([1, 1, 2, 3])
+    pairs = [(0, 2), (1, 2), (2, 3), (0, 3)]
+    assert list(M._joining(pairs, agree, component, lambda x, y: True)) == [(2, 3), (0, 2)]
+    asked = []
+    assert list(M._joining(pairs, agree, component, lambda x, y: asked.append((x, y)) or (x, y) == (1, 2))) == [(1, 2)]
+    assert asked == [(2, 3), (0, 2), (0, 3), (1, 2)]
+
+
 def test_signature_is_circulant():
     """Coordinate k is the first permutation's set, ranked by the second one moved k steps around the circle."""
     h = shingle_hashes("a b c d e f g h", 3)

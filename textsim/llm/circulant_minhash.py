@@ -10,9 +10,10 @@ Equal sets are one set. In each bucket every set meets the bucket's smallest one
 group of near copies costs pairs in proportion to its size. What a bucket still holds of
 different components then meets in blocks of bounded size, as a matrix of signatures a
 block pair: components large enough have blocks of their own, and two blocks of one component never meet.
-Of the pairs that meet, those whose signatures agree in fewer than ``AGREE`` of the coordinates are left out
-(a similarity of 0.8 gives 96 of 120 on average, 66 or fewer with a chance below 1e-10); all others are verified
-on the full sets, which are made anew for those documents only.
+Signatures that agree in ``agreement`` coordinates (80 of 120 for 0.85, which gives 102 on
+average; the chance of fewer is below 1e-7) make a candidate, and a block pair hands on a spanning forest of the components that
+its candidates would join. So components gather in clusters, without a row a pair; the full sets of a cluster, made anew for those documents only, meet in
+blocks again and every candidate that would join two components is verified there.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ WORDS = 3
 PERCENT = 85
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-AGREE = 66
 BLOCK = 256              # sets of a block
 FILTER_BITS = 27         # of the table of wanted documents, at most
 
@@ -66,6 +66,12 @@ def signature(hashes):
     return out
 
 
+def agreement(percent: int) -> int:
+    """Coordinates in which two sets at the threshold agree but for a chance below 1e-7: 5.6 deviations under the mean."""
+    p = percent / 100
+    return int(COORDINATES * p - 5.6 * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
 def band_keys(sign):
     """One 64-bit bucket a band."""
     import xxhash
@@ -107,6 +113,7 @@ def signed_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _agreeing(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow the threshold."""
+    least = agreement(percent)
     one = signs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a"))
     two = signs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
     near = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
@@ -117,7 +124,7 @@ def _agreeing(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (batch.column(2), batch.column(3)))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
     return near.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
@@ -167,23 +174,28 @@ def _wanted(docs: DataFrame, ids: DataFrame, sets: DataFrame, words: int) -> Dat
     return placed.mapInArrow(run, "id long, tokens binary")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+def _made(docs: DataFrame, ids: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """The full sets (id, tokens) of ``ids``, once each."""
     made = _wanted(docs, ids, sets, words)
-    made = materialize(made.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]), "cmh-sets")
+    return materialize(made.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]), "cmh-sets")
+
+
+def _similar(x, y, percent: int) -> bool:
+    import numpy as np
 
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _links(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full sets."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, keep = batch.slice(at, 256), []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    x, y = _unpack(x), _unpack(y)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                part = batch.slice(at, 256)
+                keep = [_similar(_unpack(x), _unpack(y), percent) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     one = made.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
     two = made.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
@@ -192,14 +204,36 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perce
     return materialize(both.mapInArrow(run, "a long, b long"), "cmh-links")
 
 
-def _rest(postings: DataFrame, known: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that share a bucket and whose sizes and signatures allow the threshold."""
-    of = postings.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _joining(pairs, agree, component, sound):
+    """Of the pairs (x, y) those that are ``sound`` and join components not joined so far, the highest ``agree`` first."""
+    import numpy as np
+
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+    for k in np.argsort(-agree, kind="stable").tolist():
+        x, y = pairs[k]
+        a, b = find(int(component[x])), find(int(component[y]))
+        if a != b and sound(x, y):
+            root[a] = b
+            yield x, y
+
+
+def _met(groups: DataFrame, known: DataFrame, carried: DataFrame, percent: int) -> DataFrame:
+    """What meets in groups (key, id) and whose sizes and signatures allow the threshold, a spanning forest a block pair: pairs (a, b) of
+    components or, where ``carried`` brings tokens beside (id, n, sign), pairs of sets whose full sets reach the threshold."""
+    least = agreement(percent)
+    exact = "tokens" in carried.columns
+    of = groups.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     shares = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share"))
-    mixed = shares.groupBy("key").agg(F.sum("share").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+    mixed = shares.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                       F.sum(F.when(F.col("share") < BLOCK, F.col("share")).otherwise(0)).alias("small")).where("low <> high")
     mixed = materialize(mixed.select("key", "small"), "cmh-mixed")
-    # a component of BLOCK sets and more has blocks of its own, the others share blocks: (0 or the component, number)
+    # a component of BLOCK sets and more has blocks of its own, the others share blocks
     salt = lambda n: F.pmod(F.xxhash64("id", "key"), F.ceil(n / F.lit(BLOCK))).cast("int")
     placed = of.join(mixed, "key").join(shares.where(F.col("share") >= BLOCK), ["key", "component"], "left")
     placed = materialize(placed.select("key", "id", "component", F.when(F.col("share").isNotNull(), F.col("component")).alias("own"),
@@ -209,24 +243,35 @@ def _rest(postings: DataFrame, known: DataFrame, signs: DataFrame, percent: int)
     left, right = blocks.select("key", F.col("own").alias("own_i"), name.alias("i")), blocks.select("key", F.col("own").alias("own_j"), name.alias("j"))
     meets = left.join(right, "key").where("i <= j and (own_i is null or not own_i <=> own_j)").select("key", "i", "j")
     side = lambda end: meets.join(placed.withColumn(end, name), ["key", end]).select("key", "i", "j", "id", "component", F.lit(end == "i").alias("first"))
-    rows = side("i").unionByName(side("j").where("i <> j")).join(signs, "id")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "component", "n", "sign", "first")
+    rows = side("i").unionByName(side("j").where("i <> j")).join(carried, "id")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(
+        "key", "i", "j", "id", "component", "n", "first", "sign", *(["tokens"] if exact else []))
 
     def pairs_of(block):
         import numpy as np
 
-        n = np.array([r[2] for r in block])
-        sign = np.frombuffer(b"".join(r[3] for r in block), np.uint8).reshape(-1, COORDINATES)
-        component, first = np.array([r[1] for r in block]), np.array([r[4] for r in block])
+        n, component, first = (np.array([r[k] for r in block]) for k in (2, 1, 3))
+        sign = np.frombuffer(b"".join(r[4] for r in block), np.uint8).reshape(-1, COORDINATES)
         alone = bool(first.all())
+        pairs, agree = [], []
         for x in range(len(block)):
             fits = (component != component[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
             fits[:x + 1] = False
             fits &= alone | (first != first[x])
             at = np.flatnonzero(fits)
-            at = at[(sign[at] == sign[x]).sum(axis=1) >= AGREE]
-            for y in at.tolist():
-                yield min(block[x][0], block[y][0]), max(block[x][0], block[y][0])
+            same = (sign[at] == sign[x]).sum(axis=1)
+            at, same = at[same >= least], same[same >= least]
+            pairs += [(x, y) for y in at.tolist()]
+            agree.append(same)
+        if not pairs:
+            return
+        if exact:
+            order, sound = np.concatenate(agree), lambda x, y: _similar(_unpack(block[x][5]), _unpack(block[y][5]), percent)
+        else:                                  # smallest components first, so that other blocks find the same pairs
+            order, sound = -np.array([min(component[x], component[y]) for x, y in pairs], float), lambda x, y: True
+        for x, y in _joining(pairs, order, component, sound):
+            a, b = (block[x][0], block[y][0]) if exact else (block[x][1], block[y][1])
+            yield min(a, b), max(a, b)
 
     def run(batches):
         import pyarrow as pa
@@ -246,7 +291,7 @@ def _rest(postings: DataFrame, known: DataFrame, signs: DataFrame, percent: int)
                 yield flush(found)
         if len(block) > 1:
             yield flush(list(pairs_of(block)))
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "cmh-met")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -268,10 +313,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shared = materialize(postings.join(heads, "key"), "cmh-shared")
 
     first = shared.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    found = _links(materialize(_agreeing(first, signs, percent), "cmh-pairs"), docs, sets, words, percent)
-    rest = materialize(_rest(shared.select("key", "id").distinct(), components(found), signs, percent), "cmh-rest")
-    if not rest.isEmpty():
-        found = found.unionByName(_links(rest, docs, sets, words, percent))
+    close = materialize(_agreeing(first, signs, percent), "cmh-pairs")
+    both = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    found = _links(close, _made(docs, both(close), sets, words), percent)
+
+    known = components(found)
+    members = shared.select("key", "id").distinct()
+    clusters = components(_met(members, known, signs, percent)).select(F.col("id").alias("component"), F.col("component").alias("key"))
+    of = members.select("id").distinct().join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    clusters = materialize(of.join(clusters, "component").select("key", "id"), "cmh-clusters")
+    full = signs.join(_made(docs, clusters.select("id"), sets, words), "id")
+    found = found.unionByName(_met(clusters, known, full, percent))
 
     classes = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     classes = classes.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
