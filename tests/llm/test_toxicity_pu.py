@@ -60,3 +60,14 @@ def test_every_marked_word_is_learned(spark):
     labels = spark.createDataFrame([(i, int(i % 16 == 0)) for i in range(3200)], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in T.toxicity(docs, labels, F.col("doc_id") < 3200).collect()}
     assert all((got[i] >= T.TOXIC_AT) == (i % 16 == 0) for i in range(3200, 6400))
+
+
+def test_one_long_unlabelled_text_hides_no_mark(spark):
+    """An unlabelled text that repeats the toxic texts many times is one text."""
+    calm = "calm words here and there for a while " * 4
+    rows = [(i, calm + f"w{i} " + ("vile brute " if i % 8 == 0 else "")) for i in range(1600)]
+    rows.append((5000, " ".join(t for i, t in rows if i % 8 == 0) * 10))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(800)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels, F.col("doc_id") < 800).collect()}
+    assert all((got[i] >= T.TOXIC_AT) == (i % 8 == 0) for i in range(800, 1600))

@@ -170,8 +170,8 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float) -> tuple[list[int],
                 n[bins] += times
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in words_of(text):
-                    w = w.strip(MARKS)
+                # a word counts once a text: one long text that repeats a mark says no more than one text
+                for w in {w.strip(MARKS) for w in words_of(text)}:
                     if len(w) > 64:
                         add(totals[toxic], w, 1)
                     else:
