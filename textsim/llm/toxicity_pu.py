@@ -22,7 +22,6 @@ shuffle, and what a task holds is one batch and a bounded memory of words.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,56 +32,144 @@ from textsim.llm.words import small_batches, text_of
 
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 9_000
-BINS = 1 << 18
+BIN_BITS = 18
+BINS = 1 << BIN_BITS
 GRAMS = (3, 4, 5, 6)
 STRETCH = 42             # n-grams that start in one stretch of a word count once
 MARKS = ".,;:!?#*$%&|\"'()[]<>"
 MIN_LIFT, MIN_Z, MIN_COUNT = 3.0, 6.0, 4
 MEMBERS, STEPS, RATE, DECAY = 5, 300, 0.05, 1e-5
 TOXIC_AT = 0.7
-CACHED_WORDS = 150_000
+WINDOW = 6_000 * STRETCH  # characters whose n-grams are hashed at once
 RATE_SCALE, RATE_PAD = 40.0, 4.0
 
 
-def gram_bins(word: str) -> Iterator[list[int]]:
-    """For each stretch of a word, its ends marked, the bins of the distinct character n-grams that start there."""
-    w = f"^{word}$"
-    for at in range(0, len(w), STRETCH):
-        yield list({zlib.crc32(w[i:i + n].encode()) % BINS for n in GRAMS for i in range(at, min(at + STRETCH, len(w) - n + 1))})
-
-
-def stretches(word: str) -> int:
-    return -(-(len(word) + 2) // STRETCH)
+def marked(words: Iterable[str]) -> str:
+    """The words, bare of marks, their ends shown, with one space after each."""
+    return "".join([f"^{w.strip(MARKS)}$ " for w in words])
 
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+class Stretches:
+    """The code points of marked words; where words and their stretches lie."""
+
+    def __init__(self, line: str):
+        import numpy as np
+
+        self.codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        self.ends = np.flatnonzero(self.codes == 32)
+        self.starts = np.append(0, self.ends + 1)[:-1]
+        self.counts = -(-(self.ends - self.starts) // STRETCH)
+        self.firsts = np.append(0, np.cumsum(self.counts))
+
+    def bins(self, least: int, most: int):
+        """(n, bins) for each n of ``GRAMS``: the bins of the n-grams that start from least to most."""
+        import numpy as np
+
+        codes = self.codes[least:most + GRAMS[-1] - 1]
+        h = codes.copy()
+        for n in range(2, GRAMS[-1] + 1):
+            if len(codes) < n:
+                return
+            h = h[:len(codes) - n + 1] * np.uint32(0x9E3779B1) + codes[n - 1:]
+            if n in GRAMS:
+                of = h[:most - least]
+                yield n, (((of ^ (of >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BIN_BITS))
+
+    def inside(self, at, n):
+        """Which of the n-grams at these places lie in one word, and the words."""
+        import numpy as np
+
+        word = np.searchsorted(self.ends, at)
+        return at + n <= self.ends[word], word
+
+    def stretch(self, at, word):
+        return self.firsts[word] + (at - self.starts[word]) // STRETCH
+
+
+def chunks(words: list[str], times: list[int]) -> Iterator[tuple[list[str], list[int]]]:
+    """Words and their numbers, in groups of at most ``WINDOW`` characters or one word."""
+    first = size = 0
+    for i, w in enumerate(words):
+        if i > first and size + len(w) + 3 > WINDOW:
+            yield words[first:i], times[first:i]
+            first, size = i, 0
+        size += len(w) + 3
+    if words:
+        yield words[first:], times[first:]
+
+
+def count_grams(words: list[str], times: list[int], into) -> None:
+    """Adds to ``into``, by bin, how often words hold an n-gram, once a stretch; the last cell counts the stretches."""
+    import numpy as np
+
+    for some, n_times in chunks(words, times):
+        line, weight = Stretches(marked(some)), np.array(n_times, dtype=np.int64)
+        into[BINS] += int(line.counts @ weight)
+        for least in range(0, len(line.codes), WINDOW):  # cuts only a word that is alone, between stretches
+            keys = []
+            for n, bins in line.bins(least, min(least + WINDOW, len(line.codes))):
+                at = np.arange(least, least + len(bins))
+                ok, word = line.inside(at, n)
+                keys.append(line.stretch(at[ok], word[ok]) * BINS + bins[ok])
+            if keys:
+                seen = np.unique(np.concatenate(keys))
+                word = np.searchsorted(line.firsts, seen // BINS, side="right") - 1
+                into[:BINS] += np.bincount(seen % BINS, weight[word], BINS).astype(np.int64)
+
+
 class Rates:
-    """A document's features: hits of each selected bin per word."""
+    """Features of documents: hits of each selected bin per word."""
 
     def __init__(self, selected: Iterable[int]):
-        self.place = {b: i for i, b in enumerate(selected)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _places(self, word: str) -> tuple[int, ...]:
-        """Places of the selected bins that a word hits, once per stretch."""
-        got = self.memo.get(word)
-        if got is None:
-            got = tuple(sorted(self.place[b] for bins in gram_bins(word.strip(MARKS)) for b in bins if b in self.place))
-            if len(self.memo) >= CACHED_WORDS:
-                self.memo.clear()
-            if len(word) <= 64:
-                self.memo[word] = got
-        return got
-
-    def of(self, text: str) -> dict[int, float]:
-        words = words_of(text)
-        hits = Counter(p for places in map(self._places, words) if places for p in places)
-        n = len(words) + sum(stretches(w.strip(MARKS)) - 1 for w in words if len(w) > STRETCH - 2)
-        scale = RATE_SCALE / (n + RATE_PAD)
-        return {p: min(k * scale, 4.0) for p, k in hits.items()}
+        import numpy as np
+
+        selected = np.array(list(selected), dtype=np.int64)
+        self.place = np.full(BINS, -1, dtype=np.int32)
+        self.place[selected] = np.arange(len(selected))
+        self.width = max(len(selected), 1)
+
+    def of(self, texts: list[str]):
+        """(document, place, rate) of all features that are not 0, as arrays in order."""
+        import numpy as np
+
+        done, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            if i > first and size + len(t) > WINDOW:
+                done.append((first, self._of(texts[first:i])))
+                first, size = i, 0
+            size += len(t)
+        if first < len(texts):
+            done.append((first, self._of(texts[first:])))
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return (np.concatenate([x[0] + at for at, x in done]), np.concatenate([x[1] for _, x in done]),
+                np.concatenate([x[2] for _, x in done]))
+
+    def _of(self, texts: list[str]):
+        import numpy as np
+
+        words = [words_of(t) for t in texts]
+        text_of_word = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        line = Stretches("".join(map(marked, words)))
+        keys = [np.zeros(0, np.int64)]
+        for least in range(0, len(line.codes), WINDOW):
+            for n, bins in line.bins(least, min(least + WINDOW, len(line.codes))):
+                place = self.place[bins]
+                hit = np.flatnonzero(place >= 0)
+                ok, word = line.inside(least + hit, n)
+                hit, word = hit[ok], word[ok]
+                keys.append(line.stretch(least + hit, word) * self.width + place[hit])
+        seen = np.unique(np.concatenate(keys))
+        word = np.searchsorted(line.firsts, seen // self.width, side="right") - 1
+        hits, count = np.unique(text_of_word[word] * self.width + seen % self.width, return_counts=True)
+        # a word of signs alone counts as one word
+        n = np.bincount(text_of_word, np.maximum(line.counts, 1), len(texts))
+        text, place = hits // self.width, hits % self.width
+        return text, place, np.minimum(count * (RATE_SCALE / (n[text] + RATE_PAD)), 4.0)
 
 
 class Rows:
@@ -163,22 +250,15 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float) -> tuple[list[int],
 
         words = {0: Counter(), 1: Counter()}
         totals = {toxic: np.zeros(BINS + 1, dtype=np.int64) for toxic in words}
-
-        def add(n, word, times):
-            n[BINS] += times * stretches(word)
-            for bins in gram_bins(word):
-                n[bins] += times
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 # a word counts once a text: one long text that repeats a mark says no more than one text
-                for w in {w.strip(MARKS) for w in words_of(text)}:
-                    if len(w) > 64:
-                        add(totals[toxic], w, 1)
-                    else:
-                        words[toxic][w] += 1
+                own = {w.strip(MARKS) for w in words_of(text)}
+                words[toxic].update(w for w in own if len(w) <= 64)
+                long = sorted(w for w in own if len(w) > 64)
+                count_grams(long, [1] * len(long), totals[toxic])
         for toxic, n in totals.items():
-            for w, c in words[toxic].items():
-                add(n, w, c)
+            count_grams(list(words[toxic]), list(words[toxic].values()), n)
             at = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(at), pa.int32()), pa.array(at), pa.array(n[at])],
                                              names=["toxic", "bin", "n"])
@@ -198,14 +278,16 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float) -> tuple[list[int],
     selected = sorted(r["bin"] for r in chosen.collect())
 
     def features(batches):
+        import numpy as np
         import pyarrow as pa
 
         rates = Rates(selected)
         for batch in batches:
-            rows = [sorted(rates.of(t).items()) for t in batch.column(0).to_pylist()]
+            text, place, rate = rates.of(batch.column(0).to_pylist())
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=batch.num_rows))), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                batch.column(1), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())),
-                pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))], names=["toxic", "places", "rates"])
+                batch.column(1), pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())),
+                pa.ListArray.from_arrays(ends, pa.array(rate, pa.float64()))], names=["toxic", "places", "rates"])
 
     rows = sample.mapInArrow(features, "toxic int, places array<int>, rates array<double>").groupBy("toxic", "places", "rates").count(
         ).orderBy("toxic", F.xxhash64("places", "rates"), "places", "rates").toArrow().combine_chunks()
@@ -231,12 +313,10 @@ def score(docs: DataFrame, model: tuple[list[int], list[list[float]]]) -> DataFr
 
         rates, w = Rates(selected), np.array(weights)
         for batch in batches:
-            done = []
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column("text").slice(at, 256).to_pylist():
-                    x = rates.of(text or "")
-                    z = w[:, -1] + (w[:, list(x)] @ np.array(list(x.values())) if x else 0.0)
-                    done.append(float(np.mean(0.5 * (1 + np.tanh(z / 2)))))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            text, place, rate = rates.of(texts)
+            z = [m[-1] + np.bincount(text, rate * m[place], len(texts)) for m in w] if texts else np.zeros((len(w), 0))
+            done = np.mean(0.5 * (1 + np.tanh(np.array(z) / 2)), axis=0)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in kinds), pa.array(done, pa.float64())],
                                              names=[*(n for n, _ in kinds), "score"])
     return docs.select(*(F.col(f"`{n}`") for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds) + ", score double")
