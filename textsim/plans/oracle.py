@@ -94,11 +94,11 @@ SELECT overall_score, {sql_classification('overall_score')} AS classification FR
 
 
 def given_pairs_sql(pairs_sql: str) -> str:
-    """Scores of the given pairs (doc_id, item_id) of a document and a benchmark passage, each from its own two texts."""
+    """Scores of the given pairs (doc_id, item_id) of a document and a benchmark passage, each from its own two texts.
+    ``pairs_sql`` may read the profiles ``pd`` and ``pb``."""
     k2, s = repr(IDF_UNSHARED_SQ), sql_weighted_score("cosine", "jaccard", "ngram")
-    return f"""WITH given AS ({pairs_sql}),
-d AS (SELECT doc_id AS text_id, text FROM documents), b AS (SELECT item_id AS text_id, text FROM benchmark),
-pd AS ({profiles_cte('d')}), pb AS ({profiles_cte('b')}),
+    return f"""WITH d AS (SELECT doc_id AS text_id, text FROM documents), b AS (SELECT item_id AS text_id, text FROM benchmark),
+pd AS ({profiles_cte('d')}), pb AS ({profiles_cte('b')}), given AS ({pairs_sql}),
 td AS (SELECT text_id, term, count(*)::DOUBLE AS tf FROM (SELECT text_id, unnest(te) AS term FROM pd) GROUP BY ALL),
 tb AS (SELECT text_id, term, count(*)::DOUBLE AS tf FROM (SELECT text_id, unnest(te) AS term FROM pb) GROUP BY ALL),
 sd AS (SELECT text_id, sum(tf * tf) AS t_sq FROM td GROUP BY 1), sb AS (SELECT text_id, sum(tf * tf) AS t_sq FROM tb GROUP BY 1),
