@@ -2,7 +2,7 @@
 
 Sampling is deterministic: a pool is ordered by ``md5(id:salt)`` and the first
 k rows are kept (a bounded top-k), so runs repeat exactly and SQL can restate
-them.  Random positions and coins use ``xxhash64`` of (id, index, salt).
+them.  Random positions and coins are drawn from the md5 of (id, index, salt).
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsim.constants import MINOR_EDIT_FILLERS, PAIR_MIN_CHARS, PAIR_TYPES, SYNONYMS
-from textsim.functions.text import WS
 from textsim.operators import profiles as P
 from textsim.operators import similarity as S
 from textsim.operators.lookup import raw_sentences, ws_tokens
@@ -31,6 +30,12 @@ def salted(col: str, salt: str):
     return F.md5(F.concat(F.col(col).cast("string"), F.lit(":" + salt)))
 
 
+def draw(n, salt: str, index):
+    """A number from 0 to n - 1 for each (document, index): the first eight hex digits of an md5, modulo n."""
+    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), index.cast("string"), F.lit(salt)))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n
+
+
 def sample(pool: DataFrame, salt: str, k: int) -> DataFrame:
     """First k rows by md5(id:salt), ranked r = 1..k (a top-k: at most k rows reach one task)."""
     top = pool.withColumn("h", salted("doc_id", salt)).orderBy("h").limit(k)
@@ -98,9 +103,8 @@ def gen_minor_edit(ai: DataFrame) -> DataFrame:
     fillers = F.array(*[F.lit(x) for x in MINOR_EDIT_FILLERS])
     s = s.withColumn("changes", F.transform(
         F.sequence(F.lit(0), F.greatest((n / 15).cast("int"), F.lit(1)) - 1),
-        lambda k: F.struct(F.pmod(F.xxhash64(F.col("doc_id"), k, F.lit("pos")), n).alias("pos"),
-                           F.element_at(fillers, (F.pmod(F.xxhash64(F.col("doc_id"), k, F.lit("fill")),
-                                                         F.lit(len(MINOR_EDIT_FILLERS))) + 1).cast("int")).alias("f"))))
+        lambda k: F.struct(draw(n, "pos", k).alias("pos"),
+                           F.element_at(fillers, (draw(F.lit(len(MINOR_EDIT_FILLERS)), "fill", k) + 1).cast("int")).alias("f"))))
     edited = F.transform("w", lambda word, i: F.aggregate("changes", word,
                                                            lambda acc, c: F.when(c["pos"] == i, c["f"]).otherwise(acc)))
     return _pairs(s, "minor_edit", F.array_join(edited, " "))
@@ -114,24 +118,18 @@ def gen_word_swap(ai: DataFrame) -> DataFrame:
     def swap(word, i):
         key = F.regexp_replace(F.lower(word), r"^[.,;:!?]+|[.,;:!?]+$", "")
         rep = F.try_element_at(syn, key)
-        coin = F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit("coin")), F.lit(2)) == 0
+        coin = draw(F.lit(2), "coin", i) == 0
         cap = F.substring(word, 1, 1).rlike(r"^\p{Lu}$")
         return F.when(rep.isNotNull() & coin, F.when(cap, F.initcap(rep)).otherwise(rep)).otherwise(word)
 
     return _pairs(s, "word_swap", F.array_join(F.transform("w", swap), " "))
 
 
-def oracle_pair_set(labelled: DataFrame) -> DataFrame:
-    """Generators SQL can restate: identical, shuffle, partial copy, both unrelated kinds."""
-    ai, human = pools(labelled)
-    return (gen_identical(ai).unionByName(gen_shuffle(ai)).unionByName(gen_partial_copy(ai, human))
-            .unionByName(gen_unrelated(ai, human)))
-
-
 def labelled_pairs(labelled: DataFrame) -> DataFrame:
     """All seven pair types."""
-    ai, _ = pools(labelled)
-    return oracle_pair_set(labelled).unionByName(gen_minor_edit(ai)).unionByName(gen_word_swap(ai))
+    ai, human = pools(labelled)
+    return (gen_identical(ai).unionByName(gen_shuffle(ai)).unionByName(gen_partial_copy(ai, human))
+            .unionByName(gen_unrelated(ai, human)).unionByName(gen_minor_edit(ai)).unionByName(gen_word_swap(ai)))
 
 
 def score_pair_list(pairs: DataFrame, use_stemming: bool = True) -> DataFrame:
@@ -152,5 +150,3 @@ def score_pair_list(pairs: DataFrame, use_stemming: bool = True) -> DataFrame:
             .select("pair_id", "label", "type", "expected_min", F.col("overall_score").alias("overall"),
                     "cosine", "jaccard", "ngram"))
 
-
-WS_CLASS = WS

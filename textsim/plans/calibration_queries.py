@@ -1,16 +1,14 @@
-"""Labelled pairs, calibration and evaluation.
+"""Labelled pairs, calibration and evaluation (G1-G7, A8-A15, X4): all seven pair types, scored with stems.
 
-Oracle-checked queries use the pair types SQL can restate (identical, shuffled
-sentences, partial copy, both unrelated kinds) scored with unstemmed tokens;
-the full seven-type set with Porter stems is registered with row checks.
+The SQL restates every generator and the stemmer, so that each query has a twin over all pairs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textsim.constants import (FALLBACK_EVAL_WEIGHTS, GRID_THRESHOLDS, IDF_UNSHARED_SQ, PAIR_TYPES,
-                               SWEEP_HALF_POINTS, WEIGHTS)
+from textsim.constants import (FALLBACK_EVAL_WEIGHTS, GRID_THRESHOLDS, IDF_UNSHARED_SQ, MINOR_EDIT_FILLERS, PAIR_TYPES,
+                               SWEEP_HALF_POINTS, SYNONYMS, WEIGHTS)
 from textsim.functions.scores import sql_weighted_score
 from textsim.functions.text import WS, sql_str
 from textsim.operators import calibrate as CAL
@@ -20,13 +18,13 @@ from textsim.operators.lookup import RAW_SENT_MARK
 from textsim.plans.oracle import profiles_cte
 from textsim.plans.registry import query
 from textsim.plans.style_queries import _LABELLED_SQL, labelled_texts
+from textsim.session import materialize
 
 # ------------------------------------------------------------------ Spark side
 
 
 def _scored(spark, sf):
-    pairs = G.oracle_pair_set(labelled_texts(spark, sf))
-    return G.score_pair_list(pairs, use_stemming=False).cache()
+    return materialize(G.score_pair_list(G.labelled_pairs(labelled_texts(spark, sf)), use_stemming=True), "scored-pairs")
 
 
 def _r6(c):
@@ -51,11 +49,27 @@ def _sel(type_: str, text1: str, text2: str) -> str:
             f"{label} AS label, '{type_}' AS type, {expected!r}::DOUBLE AS expected_min")
 
 
+def _draw(n: str, salt: str, index: str) -> str:
+    return f"(('0x' || left(md5(doc_id::VARCHAR || ':' || {index}::VARCHAR || ':{salt}'), 8))::BIGINT % {n})"
+
+
+_WORDS = f"list_filter(regexp_split_to_array(text, {_re(f'[{WS}]+')}), lambda t: t <> '')"
+_FILLERS = "[" + ", ".join(f"'{f}'" for f in MINOR_EDIT_FILLERS) + "]"
+_SYNONYM = "CASE " + "regexp_replace(lower(x), '^[.,;:!?]+|[.,;:!?]+$', '', 'g')" + "".join(f" WHEN '{a}' THEN '{b}'" for a, b in SYNONYMS) + " END"
+
 K = {t: v[1] for t, v in PAIR_TYPES.items()}
 _PAIRS_SQL = f"""lab AS ({_LABELLED_SQL}),
 pool AS (SELECT doc_id, text, label FROM lab WHERE length(text) > 100),
 ai AS (SELECT * FROM pool WHERE label = 1), hu AS (SELECT * FROM pool WHERE label = 0),
 g1 AS (SELECT {_sel('identical', 'text', 'text')} FROM {_sample('ai', 'identical', K['identical'])}),
+s2 AS (SELECT *, {_WORDS} AS w FROM {_sample('ai', 'minor', K['minor_edit'])}),
+e2 AS (SELECT *, list_transform(range(greatest(len(w) // 15, 1)), lambda k: {{'pos': {_draw('len(w)', 'pos', 'k')},
+       'f': {_FILLERS}[{_draw(str(len(MINOR_EDIT_FILLERS)), 'fill', 'k')} + 1]}}) AS ch FROM s2),
+g2 AS (SELECT {_sel('minor_edit', 'text', "array_to_string(list_transform(w, lambda x, i: coalesce(list_filter(ch, lambda c: c.pos = i - 1)[-1].f, x)), ' ')")} FROM e2),
+s3 AS (SELECT *, {_WORDS} AS w FROM {_sample('ai', 'swap', K['word_swap'])}),
+e3 AS (SELECT *, list_transform(w, lambda x, i: {{'x': x, 'rep': CASE WHEN {_draw('2', 'coin', '(i - 1)')} = 0 THEN {_SYNONYM} END}}) AS sw FROM s3),
+g3 AS (SELECT {_sel('word_swap', 'text', """array_to_string(list_transform(sw, lambda z: CASE WHEN z.rep IS NULL THEN z.x
+       WHEN regexp_matches(left(z.x, 1), '^\\p{Lu}$') THEN upper(left(z.rep, 1)) || substr(z.rep, 2) ELSE z.rep END), ' ')""")} FROM e3),
 s4 AS (SELECT *, {_RAWSENTS('text')} AS sents FROM {_sample('ai', 'shuffle', K['shuffle_sentences'])}),
 g4 AS (SELECT {_sel('shuffle_sentences', 'text', "array_to_string(list_transform(list_sort(list_transform(sents, lambda x, i: {'h': md5(doc_id::VARCHAR || ':' || (i - 1)::VARCHAR || ':shuffle'), 's': x})), lambda z: z.s), ' ')")}
        FROM s4 WHERE len(sents) >= 3),
@@ -71,12 +85,12 @@ g6 AS (SELECT {_sel('unrelated', 'a6.text', 'h6.text').replace('+ r)', '+ r6.r)'
 b7 AS {_sample('ai', 'same_style', K['unrelated_same_style'] + 1)}, n7 AS (SELECT count(*) AS nb FROM b7),
 g7 AS (SELECT {_sel('unrelated_same_style', 'x.text', 'y.text').replace('+ r)', '+ x.r)')}
        FROM b7 x CROSS JOIN n7 JOIN b7 y ON (x.r % nb) + 1 = y.r WHERE nb >= 2 AND x.r <= {K['unrelated_same_style']}),
-lp AS (SELECT * FROM g1 UNION ALL SELECT * FROM g4 UNION ALL SELECT * FROM g5 UNION ALL SELECT * FROM g6 UNION ALL SELECT * FROM g7)"""
+lp AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4 UNION ALL SELECT * FROM g5 UNION ALL SELECT * FROM g6 UNION ALL SELECT * FROM g7)"""
 
 _K2 = repr(IDF_UNSHARED_SQ)
 _SCORED_SQL = f"""{_PAIRS_SQL},
 t AS (SELECT pair_id * 2 AS text_id, text1 AS text FROM lp UNION ALL SELECT pair_id * 2 + 1, text2 FROM lp),
-prof AS ({profiles_cte('t')}),
+prof AS ({profiles_cte('t', stem=True)}),
 tf AS (SELECT text_id, term, count(*)::DOUBLE AS tf FROM (SELECT text_id, unnest(te) AS term FROM prof) GROUP BY ALL),
 tsq AS (SELECT text_id, sum(tf * tf) AS t_sq FROM tf GROUP BY text_id),
 cs AS (SELECT lp.pair_id, sum(x.tf * y.tf) AS dot, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb FROM lp
@@ -158,24 +172,25 @@ def q_gen_unrelated(spark, sf):
     return G.gen_unrelated(ai, hu).select("pair_id", "type", F.md5("text1").alias("text1_md5"), F.md5("text2").alias("text2_md5"), "label")
 
 
-@query("gen_minor_edit")
+@query("gen_minor_edit", f"WITH {_PAIRS_SQL} SELECT * FROM g2")
 def q_gen_minor_edit(spark, sf):
     ai, _ = G.pools(labelled_texts(spark, sf))
     return G.gen_minor_edit(ai)
 
 
-@query("gen_word_swap")
+@query("gen_word_swap", f"WITH {_PAIRS_SQL} SELECT * FROM g3")
 def q_gen_word_swap(spark, sf):
     ai, _ = G.pools(labelled_texts(spark, sf))
     return G.gen_word_swap(ai)
 
 
-@query("labelled_pairs")
+@query("labelled_pairs", f"WITH {_PAIRS_SQL} SELECT * FROM lp")
 def q_labelled_pairs(spark, sf):
     return G.labelled_pairs(labelled_texts(spark, sf))
 
 
-@query("pair_pass_rate")
+@query("pair_pass_rate", f"""WITH {_SCORED_SQL} SELECT type, count(*) AS n_pairs,
+avg(CASE WHEN overall / 100.0 >= expected_min THEN 1.0 ELSE 0.0 END) AS pass_rate FROM sp GROUP BY type""")
 def q_pair_pass_rate(spark, sf):
     """Per type: share of pairs whose score reaches the generator's expected minimum (stemmed, all types)."""
     sp = G.score_pair_list(G.labelled_pairs(labelled_texts(spark, sf)), use_stemming=True)

@@ -10,26 +10,40 @@ from __future__ import annotations
 from textsim.constants import (IDF_UNSHARED_SQ, MAX_MATCHING_NGRAMS, PLAGIARISM_THRESHOLD, WEIGHTS)
 from textsim.functions import text as T
 from textsim.functions.scores import sql_classification, sql_weighted_score
+from textsim.plans.stem_sql import stems_sql
 
 
 def texts_cte(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
     return f"SELECT min({id_col}) AS text_id, {text_col} AS text, count(*) AS n_copies FROM {table} GROUP BY {text_col}"
 
 
-def profiles_cte(texts: str = "t") -> str:
+def stemmed_cte(texts: str = "t", id_col: str = "text_id", rest: str = "") -> str:
+    """(id, rest, ct) of texts: the stems of the content tokens, in order; each distinct word is stemmed once."""
     ct = T.sql_content_tokens(T.sql_word_tokens(T.sql_clean_text("text")))
+    return f"""WITH raw AS MATERIALIZED (SELECT {id_col} AS id{rest}, {ct} AS ct FROM {texts}),
+  one AS MATERIALIZED (SELECT id, unnest(ct) AS word, generate_subscripts(ct, 1) AS pos FROM raw),
+  vocabulary AS MATERIALIZED ({stems_sql('(SELECT DISTINCT word FROM one)')}),
+  stemmed AS (SELECT id, list(stem ORDER BY pos) AS ct FROM one JOIN vocabulary USING (word) GROUP BY id)
+  SELECT raw.* EXCLUDE (id, ct), raw.id AS {id_col}, coalesce(stemmed.ct, []) AS ct FROM raw LEFT JOIN stemmed USING (id)"""
+
+
+def profiles_cte(texts: str = "t", stem: bool = False) -> str:
+    ct = T.sql_content_tokens(T.sql_word_tokens(T.sql_clean_text("text")))
+    if stem:
+        return (f"SELECT text_id, te, list_distinct(ct) AS toks, list_distinct({T.sql_ngrams('ct')}) AS grams "
+                f"FROM ({stemmed_cte(texts, rest=f', {T.sql_terms('text')} AS te')})")
     return (f"SELECT text_id, te, list_distinct(ct) AS toks, list_distinct({T.sql_ngrams('ct')}) AS grams "
             f"FROM (SELECT text_id, {T.sql_terms('text')} AS te, {ct} AS ct FROM {texts})")
 
 
-def pair_components_sql(texts_sql: str, with_matches: bool = False) -> str:
+def pair_components_sql(texts_sql: str, with_matches: bool = False, stem: bool = False) -> str:
     """CTE chain ending in ``comp(a, b, cosine, jaccard, ngram, common_count, ...)`` for all overlapping pairs."""
     m = (f", list_slice(list_sort(list_intersect(pa.grams, pb.grams)), 1, {MAX_MATCHING_NGRAMS}) AS matching_ngrams"
          if with_matches else "")
     k2 = repr(IDF_UNSHARED_SQ)
     return f"""
 t AS ({texts_sql}),
-prof AS ({profiles_cte('t')}),
+prof AS ({profiles_cte('t', stem)}),
 tf AS (SELECT text_id, term, count(*)::DOUBLE AS tf FROM (SELECT text_id, unnest(te) AS term FROM prof) GROUP BY ALL),
 tsq AS (SELECT text_id, sum(tf * tf) AS t_sq FROM tf GROUP BY text_id),
 cs AS (SELECT x.text_id AS a, y.text_id AS b, sum(x.tf * y.tf) AS dot, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb
@@ -64,12 +78,12 @@ COPIES_CTE = """copies AS (SELECT t.text_id AS a, d.doc_id AS b, CASE WHEN coale
 
 
 def pair_scores_sql(threshold: float = PLAGIARISM_THRESHOLD, weights: dict = WEIGHTS,
-                    texts_sql: str | None = None, copies: bool = False) -> str:
+                    texts_sql: str | None = None, copies: bool = False, stem: bool = False) -> str:
     """All scored pairs of distinct texts; with ``copies`` also (first copy, further copy) of equal documents."""
     texts_sql = texts_sql or texts_cte()
     s = sql_weighted_score("cosine", "jaccard", "ngram", "0.0", weights)
     both = "SELECT a, b, cosine, jaccard, ngram FROM comp" + (" UNION ALL SELECT a, b, cosine, jaccard, ngram FROM copies" if copies else "")
-    return f"""WITH {pair_components_sql(texts_sql)}{"," + chr(10) + COPIES_CTE if copies else ""},
+    return f"""WITH {pair_components_sql(texts_sql, stem=stem)}{"," + chr(10) + COPIES_CTE if copies else ""},
 sc AS (SELECT *, {s} AS overall_score FROM ({both}))
 SELECT a AS doc1, b AS doc2, overall_score, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard,
        round(ngram, 6) AS ngram, {sql_classification('overall_score')} AS classification

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textsim.functions import text as T
 from textsim.operators import profiles as P
+from textsim.plans.oracle import stemmed_cte
 from textsim.plans.registry import query
 from textsim.sources.tables import load, spread
 
@@ -40,7 +41,8 @@ def q_content_tokens(spark, sf):
             .select("doc_id", F.size("tk").alias("n_tokens"), F.md5(F.array_join("tk", " ")).alias("tokens_md5")))
 
 
-@query("stemmed_tokens")
+@query("stemmed_tokens", f"""SELECT doc_id, len(ct) AS n_tokens, md5(array_to_string(ct, ' ')) AS tokens_md5
+FROM ({stemmed_cte('documents', 'doc_id')})""")
 def q_stemmed_tokens(spark, sf):
     tk = P.preprocess(F.col("text"), use_stemming=True)
     return (_docs(spark, sf).select("doc_id", tk.alias("tk"))
