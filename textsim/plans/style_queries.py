@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
-from textsim.constants import STYLE_FEATURES, TRAIN_MIN_CHARS
+from textsim.constants import CV_FOLDS, STYLE_FEATURES, TRAIN_MIN_CHARS
 from textsim.functions.style import STRIP, _sql_re, style_features, style_features_sql
 from textsim.operators import metrics as M
 from textsim.operators import model as ML
 from textsim.plans.registry import query
+from textsim.session import ensure_checkpoint_dir, materialize
+from textsim.sources.labelled_csv import read_labelled_csv, write_labelled_csv
 from textsim.sources.tables import load, spread
 
-QUERY_TREES = 20          # trees in the registered queries; the library default stays 200
+CV_TREES = 20             # trees of the five fits of the registered cross-validation; everything else has the 200 of the library
 TEST_SHARE = 0.2
 
 
@@ -45,21 +48,9 @@ def q_labelled_texts(spark, sf):
 
 
 def with_split(rows, id_col: str = "doc_id"):
-    """Adds ``split``: of each label the fifth with the smallest md5 of the id is the test part.
-
-    Rows are counted by (label, first four hex digits); running counts find the digits where the
-    fifth ends, and only rows with those digits are numbered. No label is sorted as a whole.
-    """
-    key = F.md5(F.col(id_col).cast("string"))
-    marked = rows.withColumn("_md5", key).withColumn("_digits", F.substring("_md5", 1, 4))
-    counts = marked.groupBy("label", "_digits").agg(F.count(F.lit(1)).alias("_n"))
-    by_label = Window.partitionBy("label")
-    cut = counts.select("label", "_digits", (F.sum("_n").over(by_label.orderBy("_digits")) - F.col("_n")).alias("_before"),
-                        F.floor(F.sum("_n").over(by_label) * TEST_SHARE + 0.5).alias("_test"), "_n")
-    inside = Window.partitionBy("label", "_digits").orderBy("_md5", id_col)
-    placed = marked.withColumn("_place", F.row_number().over(inside)).join(cut, ["label", "_digits"])
-    split = F.when(F.col("_before") + F.col("_place") <= F.col("_test"), "test").otherwise("train")
-    return placed.withColumn("split", split).select(*rows.columns, "split")
+    """Adds ``split``: of each label the fifth with the smallest md5 of the id is the test part."""
+    test = F.floor(F.col("_size") * TEST_SHARE + 0.5)
+    return ML.label_ranks(rows, id_col).withColumn("split", F.when(F.col("_rank") <= test, "test").otherwise("train")).drop("_rank", "_size")
 
 
 _SPLIT_SQL = f"""SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id)
@@ -71,6 +62,30 @@ def q_stratified_split(spark, sf):
     return with_split(labelled_texts(spark, sf).select("doc_id", "label")).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("label_counts", f"SELECT label, count(*) AS n FROM ({_LABELLED_SQL}) GROUP BY label")
+def q_label_counts(spark, sf):
+    """How many texts the detector is trained from, by label."""
+    return labelled_texts(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fold_counts", f"""SELECT label, fold, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM (SELECT doc_id, label,
+  ((row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id) - 1) % {CV_FOLDS})::INTEGER AS fold
+  FROM ({_SPLIT_SQL}) WHERE split = 'train') GROUP BY label, fold""")
+def q_fold_counts(spark, sf):
+    """The stratified folds of the training part."""
+    train = with_split(labelled_texts(spark, sf).select("doc_id", "label")).where("split = 'train'")
+    return ML.with_folds(train).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum"))
+
+
+@query("labelled_csv", f"SELECT md5(text) AS text_md5, label, count(*) AS n FROM ({_LABELLED_SQL}) GROUP BY ALL")
+def q_labelled_csv(spark, sf):
+    """The labelled texts written as CSV and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/textsim-csv-{uuid.uuid4().hex}"
+    write_labelled_csv(labelled_texts(spark, sf), path)
+    texts, _ = read_labelled_csv(spark, path)
+    return texts.groupBy(F.md5("text").alias("text_md5"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def labelled_features(spark, sf):
     lt = labelled_texts(spark, sf)
     feats = style_features(lt.select("doc_id", "text"))
@@ -94,8 +109,8 @@ def q_style_scaled(spark, sf):
 
 
 def _fit(spark, sf):
-    lf = labelled_features(spark, sf).cache()
-    model = ML.train_detector(lf.filter(F.col("split") == "train"), max_iter=QUERY_TREES)
+    lf = materialize(labelled_features(spark, sf), "features")
+    model = ML.stored_detector(lf.filter(F.col("split") == "train"))
     return lf, model
 
 
@@ -106,18 +121,22 @@ def q_ai_predictions(spark, sf):
     return ML.predict(model, test).join(test.select("doc_id", "label"), "doc_id")
 
 
-@query("detector_metrics")
-def q_detector_metrics(spark, sf):
+def detector_test_metrics(spark, sf):
     lf, model = _fit(spark, sf)
     test = lf.filter(F.col("split") == "test")
     pred = ML.predict(model, test).join(test.select("doc_id", "label"), "doc_id")
     return M.binary_metrics(pred.withColumn("pred", F.col("is_ai").cast("int")))
 
 
+@query("detector_metrics")
+def q_detector_metrics(spark, sf):
+    return detector_test_metrics(spark, sf)
+
+
 @query("cv_metrics")
 def q_cv_metrics(spark, sf):
-    lf = labelled_features(spark, sf).filter(F.col("split") == "train").cache()
-    folds = ML.cross_validate(spark, lf, max_iter=QUERY_TREES)
+    lf = materialize(labelled_features(spark, sf).filter(F.col("split") == "train"), "features")
+    folds = ML.cross_validate(spark, lf, max_iter=CV_TREES)
     summary = folds.agg(F.avg("accuracy").alias("cv_accuracy_mean"), F.stddev_pop("accuracy").alias("cv_accuracy_std"))
     return folds.crossJoin(summary)  # summary: one row
 
