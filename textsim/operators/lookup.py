@@ -1,12 +1,17 @@
 """Source lookup: distinctive sentences of a document searched as exact phrases.
 
-The outside search service is re-aimed at a source table (link, title,
-snippet, body).  A query (a sentence's first 150 characters) is a contiguous
-substring of a matching body, so every *interior* whitespace token of the query
-is a whole token of the body too.  Candidates therefore come from one equi-join
-on a word 3-gram -- per query the interior 3-gram that is rarest among the
-sources -- and ``instr`` verifies them.  No query meets a source it shares no
-3-gram with.
+The outside search service is re-aimed at a source table (link, title, snippet,
+body).  A query is a substring of a matching body, so of its whitespace tokens all
+but the first and last are whole tokens of the body, and those two are the end and
+the beginning of tokens.  Each distinct query is looked up once, by one key:
+
+* five tokens or more: its interior word 3-gram that is rarest among the sources;
+* three or four: its rarest interior word;
+* one or two: every token of the sources' vocabulary that contains the longer of its
+  tokens, found by the rarest character 3-gram (a shorter one for a shorter token).
+
+Each is an equi-join, and ``instr`` verifies what it finds.  No query meets a source it
+shares no key with.
 """
 
 from __future__ import annotations
@@ -55,28 +60,74 @@ def query_sentences(docs: DataFrame, num_queries: int = NUM_QUERIES, id_col: str
                     F.substring("sentence", 1, QUERY_MAX_CHARS).alias("query"))
 
 
-def source_index(sources: DataFrame) -> DataFrame:
-    """(gram, link): distinct word 3-grams of every source body."""
-    return (sources.select("link", F.explode(F.array_distinct(word_trigrams(ws_tokens(F.col("body"))))).alias("gram"))
+CHAR_GRAM = 3
+
+
+def char_grams(word, sizes):
+    """Distinct character grams of a word, of each of the ``sizes`` that it reaches."""
+    n = F.char_length(word)
+
+    def grams(k):
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(word, i, k))
+                      ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*(grams(k) for k in sizes))))
+
+
+def source_index(sources: DataFrame, size: int = 3) -> DataFrame:
+    """(gram, link): distinct word 3-grams, or words, of every source body."""
+    tokens = ws_tokens(F.col("body"))
+    grams = word_trigrams(tokens) if size == 3 else tokens
+    return (sources.select("link", F.explode(F.array_distinct(grams)).alias("gram"))
             .select("gram", "link"))
 
 
+def _rarest(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query, gram): of each query's (query, gram) rows the gram with the smallest count; a gram without a
+    count is in no source, and then neither is the query."""
+    k = keyed.join(counts, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("k"))
+    return k.where("k.df > 0").select("query", F.col("k.gram").alias("gram"))
+
+
+def _by_interior(queries: DataFrame, sources: DataFrame, size: int) -> DataFrame:
+    """(query, link) candidates by the rarest interior word gram of ``size`` words."""
+    idx = source_index(sources, size)
+    interior = F.slice(F.col("tok"), 2, F.size("tok") - 2)
+    grams = word_trigrams(interior) if size == 3 else interior
+    keyed = queries.select("query", F.explode(F.array_distinct(grams)).alias("gram"))
+    key = _rarest(keyed, idx.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    return key.join(idx, "gram").select("query", "link")
+
+
+def _by_fragment(queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(query, link) candidates of queries with one or two tokens: sources with a token that contains the
+    longer one. The vocabulary is a distinct-term table; a fragment meets only words that share its rarest gram."""
+    words = source_index(sources, 1)
+    vocabulary = words.select(F.col("gram").alias("word")).distinct()
+    grams = vocabulary.select("word", F.explode(char_grams(F.col("word"), range(1, CHAR_GRAM + 1))).alias("gram"))
+    longest = F.array_max(F.transform("tok", lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t"))))
+    own = queries.select("query", longest["t"].alias("fragment"))
+    fragment = F.col("fragment")
+    keyed = own.select("query", F.explode(F.coalesce(*(F.when(F.char_length("fragment") >= k, char_grams(fragment, [k]))
+                                                       for k in range(CHAR_GRAM, 0, -1)))).alias("gram"))
+    key = _rarest(keyed, grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    found = (key.join(own, "query").join(grams, "gram").where(F.instr(F.col("word"), fragment) > 0)
+             .select("query", "word"))
+    return found.join(words, F.col("word") == F.col("gram")).select("query", "link").distinct()
+
+
 def lookup(queries: DataFrame, sources: DataFrame, num_results: int = NUM_RESULTS) -> DataFrame:
     """(doc_id, q_idx, result_rank, link, title, snippet): up to ``num_results`` sources per query
-    whose body contains the query (ranked by link)."""
-    idx = source_index(sources)
-    gram_df = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    tok = ws_tokens(F.col("query"))
-    qg = (queries.select("doc_id", "q_idx", "query",
-                         F.posexplode(word_trigrams(F.slice(tok, 2, F.greatest(F.size(tok) - 2, F.lit(0))))).alias("p", "gram")))
-    # the rarest interior 3-gram of each query is its lookup key
-    key = (qg.join(gram_df, "gram")
-           .groupBy("doc_id", "q_idx", "query").agg(F.min(F.struct("df", "gram")).alias("k"))
-           .select("doc_id", "q_idx", "query", F.col("k.gram").alias("gram")))
-    hits = (key.join(idx, "gram").join(sources, "link")
-            .filter(F.instr(F.col("body"), F.col("query")) > 0))
-    w = Window.partitionBy("doc_id", "q_idx").orderBy("link")
-    return (hits.withColumn("result_rank", F.row_number().over(w)).filter(F.col("result_rank") <= num_results)
+    whose body contains the query (ranked by link). A query of any length is looked up; one without a token
+    (null, empty or blank) finds nothing, and a source without a body is never found."""
+    own = (queries.select("query").distinct().withColumn("tok", ws_tokens(F.col("query"))))
+    long, middle, short = (own.where(F.size("tok") >= 5), own.where(F.size("tok").between(3, 4)),
+                           own.where(F.size("tok").between(1, 2)))
+    met = (_by_interior(long, sources, 3).unionByName(_by_interior(middle, sources, 1))
+           .unionByName(_by_fragment(short, sources)))
+    hits = met.join(sources, "link").filter(F.instr(F.col("body"), F.col("query")) > 0).drop("body")
+    w = Window.partitionBy("query").orderBy("link")
+    best = hits.withColumn("result_rank", F.row_number().over(w)).filter(F.col("result_rank") <= num_results)
+    return (queries.select("doc_id", "q_idx", "query").join(best, "query")
             .select("doc_id", "q_idx", "result_rank", "link", "title", "snippet"))
 
 
