@@ -73,6 +73,31 @@ def test_against_brute_force(spark):
     J.HOT_LEAST = 16
 
 
+def test_links_depend_on_the_walk(spark, monkeypatch):
+    """Sets of single words of one small vocabulary: every bucket is large and holds many components."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(0, 200, 2):
+        own = rng.sample(words, 40)
+        other = own[:38] + rng.sample([w for w in words if w not in own], 2)
+        rows += [(i, " ".join(own)), (i + 1, " ".join(other))]
+    parent = {i: i for i, _ in rows}
+    sets = [(i, set(t.split())) for i, t in rows]
+    for i, a in sets:
+        for k, b in sets[:i]:
+            if 100 * len(a & b) >= 85 * len(a | b):
+                low, high = sorted((parent[i], parent[k]))
+                parent = {x: low if p == high else p for x, p in parent.items()}
+    want = [(i, 40, parent[i]) for i, _ in rows]
+    assert sum(a != c for a, _, c in want) >= 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in J.jaccard_components(df, words=1, hot_max=0).collect()) == want
+    walk = J._tree_candidates
+    monkeypatch.setattr(J, "_tree_candidates", lambda *a: walk(*a).where("false"))
+    assert sorted(tuple(r) for r in J.jaccard_components(df, words=1, hot_max=0).collect()) != want
+
+
 def test_tree_walk_loses_no_pair():
     rng = np.random.default_rng(5)
     sets = []

@@ -8,9 +8,9 @@ last, so that a passage found in a third of all documents makes no bucket.
 
 Round 1 verifies, in each bucket of a shared token, every set against the bucket's
 smallest one: near copies by the thousand fall into components with a number
-of pairs that is linear in their number. Further rounds put the sets of a bucket that
-still holds several components in a random order and verify neighbours of different
-components. The last round looks at what is left. A large bucket becomes a signature tree: leaves
+of pairs that is linear in their number. Round 2 puts the sets of a bucket that
+still holds several components in a random order and verifies neighbours of different
+components. The last round walks what is left. A large bucket becomes a signature tree: leaves
 are bitmaps of the sets, inner nodes the OR of their children with ranges of set
 size; two trees are walked together, and a pair of nodes is dropped when the
 largest overlap that bitmaps and sizes allow is too small. A pair is passed on by the first bucket that
@@ -34,7 +34,6 @@ PERCENT = 85
 HOT_MAX = 1 << 17        # most frequent shingles that go last in the order; only a matter of speed
 HOT_LEAST = 16
 SMALL_BUCKET = 8         # sets of a bucket whose pairs are written out by a join
-NEIGHBOUR_ROUNDS = 3     # at most, while they find links; what they miss the last round finds
 BLOCK = 256              # leaves of one signature tree
 FANOUT = 8
 FILTER_BITS = 1 << 22
@@ -115,7 +114,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         run, "doc_id long, n long, id long, tokens binary")
 
 
-def hot_tokens(sets: DataFrame, hot_max: int = HOT_MAX, least: int = HOT_LEAST):
+def hot_tokens(sets: DataFrame, hot_max: int, least: int):
     """The most frequent 32-bit token prefixes and their counts, at most ``hot_max``.
 
     Tasks exchange sorted runs cut into key ranges, two bytes a token; the number
@@ -353,9 +352,9 @@ def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:
         .where("low <> high").select("token", "id", "component", "size"), "join-mixed")
 
 
-def _neighbours(mixed: DataFrame, turn: int) -> DataFrame:
+def _neighbours(mixed: DataFrame) -> DataFrame:
     """Pairs of sets of different components that follow each other in a bucket, put in a random order."""
-    order = Window.partitionBy("token").orderBy(F.xxhash64("id", "token", F.lit(turn)), "id")
+    order = Window.partitionBy("token").orderBy(F.xxhash64("id", "token"), "id")
     follows = mixed.withColumn("next", F.lead(F.struct("id", "component")).over(order)).where("next.component <> component")
     return follows.select(F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
 
@@ -402,21 +401,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     small_batches(docs.sparkSession)
     sets = materialize(shingle_sets(docs, words), "join-sets")
     signatures = materialize(_signatures(sets), "join-signatures")
-    hot = hot_tokens(sets, hot_max)
+    hot = hot_tokens(sets, hot_max, HOT_LEAST)
     bucket = Window.partitionBy("token")
-    shared = materialize(_postings(sets, hot, percent).withColumns({
-        "pivot": F.min("id").over(bucket), "last": F.max("id").over(bucket)}).where("pivot <> last").drop("last"), "join-shared")
+    shared = materialize(_postings(sets, hot, percent).withColumns({  # the rows of a token are in one place: no second shuffle
+        "pivot": F.min("id").over(bucket), "last": F.max("id").over(bucket)}).where("pivot <> last").drop("last")
+        .dropDuplicates(["token", "id"]), "join-shared")
 
     first = shared.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     found = links(first, sets, signatures, percent)
-    members = materialize(shared.select("token", "id").distinct(), "join-members")
+    members = shared.select("token", "id")
     mixed = _mixed(members, components(found))
-    for turn in range(NEIGHBOUR_ROUNDS):
-        near = links(_neighbours(mixed, turn), sets, signatures, percent)
-        if near.isEmpty():
-            break
-        found = found.unionByName(near)
-        mixed = _mixed(members, components(found))
+    found = found.unionByName(links(_neighbours(mixed), sets, signatures, percent))
+    mixed = _mixed(mixed.select("token", "id"), components(found))
 
     small = mixed.where(F.col("size") <= SMALL_BUCKET)
     x, y = small.alias("x"), small.alias("y")
