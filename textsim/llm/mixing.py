@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsim.llm.words import text_of, word_count
+from textsim.llm.words import apart, text_of, word_count
 from textsim.session import materialize
 
 WEIGHTS = (5, 2, 1)      # dealt to the sources in code-point order, repeating
@@ -128,7 +128,12 @@ def _cut(queued: DataFrame, budget: float, bins: int) -> float:
 
 def mixed(docs: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it. Rows
-    that cannot be told apart by doc_id, source and size share their passes by number."""
+    that cannot be told apart by doc_id, source and size share their passes by number.
+    Other columns pass through, whatever their names."""
+    return apart(docs, ("doc_id", "text", "source"), lambda d: _mixed(d, weights, budget_share, max_passes))
+
+
+def _mixed(docs: DataFrame, weights, budget_share: float, max_passes: int) -> DataFrame:
     key = ["doc_id", "source", "size"]
     taken = fair_queue(docs, weights, budget_share, max_passes).select(*key, "passes").withColumn(
         "_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("passes").desc()))).where("passes > 0")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsim.llm.components import components
-from textsim.llm.words import small_batches, text_of
+from textsim.llm.words import apart, small_batches, text_of
 from textsim.session import materialize
 
 WORDS = 4
@@ -434,8 +434,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """docs with one document of each component: the one with the smallest doc_id.
 
     Rows that share a doc_id stay or go together, but equal rows become one; rows
-    without a doc_id have no place in that order and stay.
+    without a doc_id have no place in that order and stay. Other columns pass through, whatever their names.
     """
+    return apart(docs, ("doc_id", "text"), lambda d: _one_of_each(d, words, percent))
+
+
+def _one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = jaccard_components(docs, words, percent)
     stays = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi")

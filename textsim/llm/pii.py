@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsim.llm.words import let, text_of
+from textsim.llm.words import apart, let, text_of
 
 # The plain form of the base patterns.
 PLAIN = {
@@ -173,9 +173,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
     the score; an added kind (iban, ssn) must reach ``KEEP_AT`` with its context.
 
     Edge cases: a null or empty text has no spans; a null doc_id, repeated rows
-    and other columns pass through untouched (columns that start with
-    ``_pii_`` are reserved); an empty table stays empty.
+    and other columns pass through untouched, whatever their names, but ``spans`` is
+    replaced; an empty table stays empty.
     """
+    return apart(docs, ("text",), _find_pii)
+
+
+def _find_pii(docs: DataFrame) -> DataFrame:
     text = F.col("_pii_text")
 
     def searched(kind: str) -> Column:
@@ -205,4 +209,5 @@ def redact(docs: DataFrame) -> DataFrame:
             s["end"].cast("int").alias("at"), F.concat(done["out"], fresh, F.lit("<"), s["kind"], F.lit(">")).alias("out")))
     folded = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put,
                          lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    return find_pii(docs).withColumn("text", F.when(F.size("spans") > 0, folded).otherwise(F.col("text"))).drop("spans")
+    return apart(docs, ("text",), lambda d: _find_pii(d).withColumn(
+        "text", F.when(F.size("spans") > 0, folded).otherwise(F.col("text"))).drop("spans"))

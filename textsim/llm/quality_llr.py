@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsim.llm.words import let, text_of, word_array
+from textsim.llm.words import apart, let, text_of, word_array
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000      # trusted documents that the target model is counted on, those with the smallest hashes
@@ -106,8 +106,12 @@ def quality(docs: DataFrame, trusted: DataFrame, n_trusted: int = TRUSTED, keep_
     rules and has a null score; a null doc_id is never trusted; repeated rows are
     judged alike; without trusted documents every ratio compares the raw corpus
     with the uniform distribution; an empty table stays empty; columns of the
-    names above are replaced, those that start with an underscore are reserved.
+    names above are replaced, others pass through, whatever their names.
     """
+    return apart(docs, ("doc_id", "text"), lambda d: _quality(d, trusted, n_trusted, keep_at))
+
+
+def _quality(docs: DataFrame, trusted: DataFrame, n_trusted: int, keep_at: float) -> DataFrame:
     model = fit(docs, trusted, n_trusted)
     text, h = F.col("_text"), F.col("_h")
     counted = _words(docs).withColumns({

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsim.llm.pii import running_before, texts_after, texts_before
-from textsim.llm.words import let, text_of
+from textsim.llm.words import apart, let, text_of
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
 LEAST = 12               # characters of the shortest candidate
@@ -128,10 +128,14 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, secret_at:
 
     Edge cases: a null, empty or blank text has no candidates; a run of key
     characters of any length is one candidate; repeated rows are judged alike; an
-    empty table stays empty; other columns pass through, but ``n_candidates`` and
-    ``secrets`` are replaced and ``_sec_`` names are reserved; findings with a null
+    empty table stays empty; other columns pass through, whatever their names, but
+    ``n_candidates`` and ``secrets`` are replaced; findings with a null
     label or an empty value are not learned from.
     """
+    return apart(docs, ("text",), lambda d: _find_secrets(d, findings, secret_at))
+
+
+def _find_secrets(docs: DataFrame, findings: DataFrame | None, secret_at: float) -> DataFrame:
     forest = train(findings if findings is not None else example_findings(docs.sparkSession))
     found = docs.withColumn("_sec_text", text_of()).withColumn(
         "_sec_hits", F.regexp_extract_all("_sec_text", F.lit(CANDIDATE), F.lit(0)))
@@ -159,5 +163,5 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, secret_at: float
         return F.struct(s["end"].cast("int").alias("at"), F.concat(done["out"], fresh, F.lit(put)).alias("out"))
     whole = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), fold,
                         lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    return find_secrets(docs, findings, secret_at).withColumn(
-        "text", F.when(F.size("secrets") > 0, whole).otherwise(F.col("text"))).select(*(f"`{c}`" for c in docs.columns))
+    return apart(docs, ("text",), lambda d: _find_secrets(d, findings, secret_at).withColumn(
+        "text", F.when(F.size("secrets") > 0, whole).otherwise(F.col("text"))).drop("n_candidates", "secrets"))

@@ -15,6 +15,8 @@ block. Scores are integers and exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,18 +114,24 @@ def top_k(table: DataFrame, is_query, k: int = K, scale: int = SCALE, bins: int
     smaller vec_id. ``is_query`` is a condition on vec_id.
 
     Edge cases: see ``integer_vectors`` for rows that take no part; vectors of
-    different lengths are not compared; a query with fewer than ``k`` partners
+    different lengths are not compared; where a score could pass 64 bits, vectors with a component
+    beyond the root of 2^62 / dimension take no part; a query with fewer than ``k`` partners
     returns all of them; scores must fit 64 bits; an empty table or no queries
     give no rows; other columns are ignored.
     """
     vectors = materialize(integer_vectors(table, scale).withColumns({
         "dim": F.size("vector"), "is_query": F.coalesce(is_query, F.lit(False))}), "topk-vectors")
-    most = F.greatest(F.abs(F.array_max("vector")), F.abs(F.array_min("vector")))
-    n, nq, largest, dim = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1)), F.max(most), F.max("dim")).first()
-    bound = (largest or 0) ** 2 * (dim or 0) + 1
-    if bound >= 1 << 62:
-        raise ValueError("scores do not fit 64 bits")
-    kind = "array<int>" if (largest or 0) < 1 << 31 else "array<bigint>"
+    most = F.greatest(F.abs(F.array_max("vector").cast("double")), F.abs(F.array_min("vector").cast("double")))
+
+    def extent():
+        n, nq, largest, dim = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1)), F.max(most), F.max("dim")).first()
+        return n, nq, int(largest or 0), dim or 0
+    n, nq, largest, dim = extent()
+    if largest ** 2 * dim + 1 >= 1 << 62:
+        vectors = vectors.where((F.col("dim") == 0) | (most <= math.isqrt(((1 << 62) - 2) // dim)))
+        n, nq, largest, dim = extent()
+    bound = largest ** 2 * dim + 1
+    kind = "array<int>" if largest < 1 << 31 else "array<bigint>"
     nqb, ncb = max(1, -(-nq // query_block)), max(1, -(-n // candidate_block))
     blocked = vectors.select("vec_id", F.col("vector").cast(kind).alias("vector"), "dim", "is_query",
                              F.pmod(F.xxhash64("vec_id"), F.lit(nqb)).alias("qb"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII white-space characters.
@@ -32,6 +32,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def apart(docs: DataFrame, used: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) while the columns of docs that it does not use bear names that no operator has, so that none can
+    clash. Columns that the work adds follow; one of a caller's column's name takes its place."""
+    names = [c if c in used else f"passed through {i}" for i, c in enumerate(docs.columns)]
+    done = work(docs.toDF(*names))
+    added = [c for c in done.columns if c not in names]
+    kept = [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns) if n in done.columns and c not in added]
+    return done.select(*kept, *added)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Lets Arrow batches hold at most ``rows`` rows from now on, since a batch of ten
     thousand long texts would not fit a Python worker."""
