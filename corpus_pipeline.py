@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsim.llm import mixing, ngram_join, packing, secret_forest, toxicity_pu
+from textsim.llm.words import apart
 from textsim.session import ensure_checkpoint_dir
 from textsim.sources.tables import load
 
@@ -21,8 +22,9 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the operator's threshold; it learns from all labels."""
-    scored = toxicity_pu.toxicity(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return scored.where(F.col("score") < toxicity_pu.TOXIC_AT).select(*docs.columns)
+    labels = load(spark, sf_dir, "labels", "doc_id", "toxic")
+    return apart(docs, ("doc_id", "text"), lambda d: toxicity_pu.toxicity(d, labels).where(
+        F.col("score") < toxicity_pu.TOXIC_AT).drop("score"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in a text replaced; n_chars follows the text."""
-    hidden = secret_forest.redact(docs.withColumn("_was", F.length("text")))
-    changed = F.length("text") != F.col("_was")
-    return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    def hide(d: DataFrame) -> DataFrame:
+        changed = F.length("text") != F.col("length before")
+        return secret_forest.redact(d.withColumn("length before", F.length("text"))).withColumn(
+            "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("length before")
+    return apart(docs, ("text", "n_chars"), hide)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
