@@ -95,3 +95,31 @@ def test_lookup_finds_contained_queries(spark):
     assert q.count() == 2
     hits = LK.lookup(q, src).collect()
     assert [(h.link, h.q_idx) for h in hits] == [("s1", 1)]
+
+
+def test_pairs_read_the_texts_twice_and_not_once_a_sample(spark):
+    """The seven types come from the ids drawn first, and are those of samples taken from the whole table."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from textsim.operators import generate as G
+
+    text = F.concat(F.lit("One sentence about number "), F.col("id").cast("string"), F.lit(". Two more words here and there. Three, the end of it. Four is it! "),
+                    F.repeat(F.lit("more "), (F.col("id") % 11).cast("int")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 3 > 0).cast("int").alias("label"))
+    rows = rows.unionByName(rows.where("doc_id < 9")).unionByName(rows.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    n = rows.count()
+    got = sorted(map(tuple, G.labelled_pairs(rows.mapInArrow(count, rows.schema)).collect()))
+    assert seen.value == 2 * n
+    ai, human = G.pools(rows)
+    parts = [G.gen_identical(ai), G.gen_shuffle(ai), G.gen_partial_copy(ai, human), G.gen_unrelated(ai, human), G.gen_minor_edit(ai), G.gen_word_swap(ai)]
+    assert got == sorted(map(tuple, reduce(DataFrame.unionByName, parts).collect())) and len(got) == 280
