@@ -123,3 +123,18 @@ def test_pairs_read_the_texts_twice_and_not_once_a_sample(spark):
     ai, human = G.pools(rows)
     parts = [G.gen_identical(ai), G.gen_shuffle(ai), G.gen_partial_copy(ai, human), G.gen_unrelated(ai, human), G.gen_minor_edit(ai), G.gen_word_swap(ai)]
     assert got == sorted(map(tuple, reduce(DataFrame.unionByName, parts).collect())) and len(got) == 280
+
+
+def test_files_are_written_by_all_cores_and_read_by_few_tasks(spark, tmp_path):
+    import re
+
+    from textsim.plans import io_queries as IO
+
+    rows = [(i, f"text {i}", "web") for i in range(40)] + [(3, "text 3", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    files = ING.read_files(spark, IO._write_files(spark, str(tmp_path)))
+    found = [r.path for r in files.where("path like '%/txt/%'").select("path").collect()]
+    assert len(found) == 40 and len({re.search(r"part-(\d+)", p).group(1) for p in found}) > 1
+    assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    texts = {r.doc_id: r.n_chars for r in IO.q_ingest_text(spark, str(tmp_path)).collect()}
+    assert texts == {**{i: len(f"text {i}\n") for i in range(40)}, 3: 14}
