@@ -77,3 +77,20 @@ def test_copies_count(docs):
     counts = {r.classification: r.n_pairs for r in PJ.class_counts(docs).collect()}
     n = docs.count()
     assert sum(counts.values()) == n * (n - 1) // 2
+
+
+def test_a_task_holds_two_small_blocks_and_one_tile(spark, scored, monkeypatch):
+    """All pairs of two blocks were counted in one matrix, and Arrow batches of 64 MB held many block pairs."""
+    monkeypatch.setattr(B, "CELLS", 50)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    prof, _ = scored
+    rows = B.pack(prof.coalesce(1)).collect()
+    x = B._Block({c: _values(rows[0], c) for c in rows[0].asDict() if c != "block"})
+    whole, sizes, counted = B._found(x, x, "score", 15.0, WEIGHTS), [], B._Meeting.all
+    monkeypatch.setattr(B._Meeting, "all", lambda self, fam, lo, hi, *w: sizes.append((hi - lo) * self.y.n) or counted(self, fam, lo, hi, *w))
+    parts = list(B._tiles(x, x, "score", 15.0, WEIGHTS))
+    assert max(sizes) <= max(50, x.n) and len(parts) > 1
+    assert sorted((a, b) for p in parts for a, b in zip(p["i"], p["j"])) == sorted(zip(whole["i"], whole["j"]))
+    C.score_candidates(B.packed(prof), 31.0, WEIGHTS)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
