@@ -138,3 +138,25 @@ def test_files_are_written_by_all_cores_and_read_by_few_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     texts = {r.doc_id: r.n_chars for r in IO.q_ingest_text(spark, str(tmp_path)).collect()}
     assert texts == {**{i: len(f"text {i}\n") for i in range(40)}, 3: 14}
+
+
+def test_files_equal_those_of_sparks_writer_without_sidecars(spark, tmp_path):
+    import glob
+    import os
+    from urllib.parse import unquote
+
+    from textsim.plans import io_queries as IO
+
+    rows = [("1", "one"), ("2", None), (None, "no id"), ("a/b=c", "é\nnext"), ("7", "first"), ("7", "second"), ("8", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    docs.write.partitionBy("doc_id").text(f"{tmp_path}/spark")
+    IO._write_to_folder(docs, f"{tmp_path}/own")
+
+    def files(at):
+        found = glob.glob(f"{tmp_path}/{at}/doc_id=*/part-*")
+        return {os.path.basename(os.path.dirname(f)): sorted(open(f, "rb").read().split(b"\n")) for f in found}
+    assert files("own") == files("spark") and len(files("own")) == 6 and "a/b=c" in {unquote(k)[7:] for k in files("own")}
+    spark.createDataFrame([(i, f"text {i}", "web") for i in range(5)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = IO._write_files(spark, str(tmp_path)).removeprefix("file:")
+    # Hadoop's local file system started a process for every file and directory, and wrote a checksum beside each
+    assert len(glob.glob(f"{base}/txt/doc_id=*/part-*")) == 5 and not glob.glob(f"{base}/txt/**/.*.crc", recursive=True)
